@@ -76,7 +76,7 @@ def collapsed(mentions: DataFrame) -> DataFrame:
     return copy_classes(mentions).filter("mention_id = first_id").select("first_id", "copies").distinct()
 
 
-FOUND_SQL = r"""
+_GROUPS_SQL = r"""
 WITH r AS (
   SELECT mention_id, type, label, lower(upper(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) AS tk,
          split_part(source_url, '#', 1) AS body,
@@ -90,6 +90,7 @@ WITH r AS (
            lambda x: lower(upper(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')))), lambda x: x <> '')) AS params,
          lower(upper(regexp_replace(frag, '[^\p{L}\p{N}]', '', 'g'))) AS frag
   FROM r
-), g AS (SELECT mention_id, min(mention_id) OVER (PARTITION BY type, label, tk, path, params, frag) AS first_id FROM k)
-SELECT DISTINCT first_id, mention_id AS copy_id FROM g WHERE mention_id > first_id
+), g AS (SELECT mention_id, min(mention_id) OVER w AS first_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY type, label, tk, path, params, frag))
 """
+FOUND_SQL = _GROUPS_SQL + "SELECT DISTINCT first_id, mention_id AS copy_id FROM g WHERE mention_id > first_id"
+COLLAPSED_SQL = _GROUPS_SQL + "SELECT DISTINCT first_id, copies FROM g WHERE mention_id = first_id AND copies > 1"
