@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import fixed, vectors
+from graphloom.sources.tables import cut
 
 
 def cleaned(triples: DataFrame, skip: list[str] | None = None) -> DataFrame:
@@ -34,11 +35,12 @@ def split_key(seed: int = 42) -> Column:
 
 
 def split(links: DataFrame, train: float = 0.8, valid: float = 0.1, seed: int = 42) -> DataFrame:
-    """Links with their part. The global rank comes from a range partitioning: counts of partitions, then ranks within them."""
+    """Links with their part. The global rank comes from a range partitioning: counts of partitions, then ranks within them. The ranked rows are
+    written once, so that no recomputation can rank them anew."""
     keyed = links.withColumn("_key", split_key(seed))
     spark = links.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(parts, "_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).persist()
+    ordered = cut(keyed.repartitionByRange(parts, "_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     sizes = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, before, offsets = sum(sizes.values()), 0, {}
     for p in sorted(sizes):
@@ -62,7 +64,7 @@ def repair_leakage(parts: DataFrame) -> DataFrame:
 def dictionary(values: DataFrame, name: str) -> DataFrame:
     """(name, id): distinct values numbered from 0 in their order; ranks within ranges of a range partitioning, as in ``split``."""
     distinct = values.select(name).filter(F.col(name).isNotNull()).distinct()
-    ordered = distinct.repartitionByRange(name).sortWithinPartitions(name).withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).persist()
+    ordered = cut(distinct.repartitionByRange(name).sortWithinPartitions(name).withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     before, offsets = 0, {}
     for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
         offsets[r["_part"]] = before
@@ -194,13 +196,51 @@ BLOCK = 2048
 
 
 def similar_pairs(vecs: DataFrame, k: int = 5) -> DataFrame:
-    """(a, b, cos): the k most similar pairs of a small table of relations (id, vec)."""
-    a, b = vecs.select(F.col("id").alias("a"), F.col("vec").alias("_a")), vecs.select(F.col("id").alias("b"), F.col("vec").alias("_b"))
-    return a.join(F.broadcast(b.limit(MAX_RELATIONS)), F.col("a") < F.col("b")).select("a", "b", F.round(vectors.cosine(F.col("_a"), F.col("_b")), 6).alias("cos")).orderBy(F.desc("cos"), "a", "b").limit(k)
+    """(a, b, cos): the k most similar pairs of (id, vec). A pair among the k best is among the k best of both its ends."""
+    near = nearest(vecs.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), vecs, k, round_to=6)
+    return near.filter("qid < id").select(F.col("qid").alias("a"), F.col("id").alias("b"), F.col("score").alias("cos")).orderBy(F.desc("cos"), "a", "b").limit(k)
 
 
-#: Relations of a graph that are compared with each other.
-MAX_RELATIONS = 10_000
+def ranks_by_distance(queries: DataFrame, entities: DataFrame, known: DataFrame, round_to: int = 6) -> DataFrame:
+    """(q, rank): realistic filtered ranks of the true entity by translation score, minus the distance to h + r.
+
+    queries: (q, qvec, truth), where qvec is h + r; entities: (id, vec); known: (q, candidate), true answers that don't count. Blocks of
+    queries meet all entities in numpy; each partition returns two counts a query, so the shuffle doesn't see scores.
+    Known answers are scored by equality joins and taken off the counts.
+    """
+    spark = entities.sparkSession
+    near = lambda a, b: F.round(-vectors.distance(a, b), round_to)
+    true = queries.join(entities.select(F.col("id").alias("truth"), F.col("vec").alias("_t")), "truth").select("q", "qvec", "truth", near(F.col("qvec"), F.col("_t")).alias("true"))
+    off = known.distinct().join(true, "q").filter(F.col("candidate") != F.col("truth")).join(entities.select(F.col("id").alias("candidate"), F.col("vec").alias("_c")), "candidate").withColumn("s", near(F.col("qvec"), F.col("_c")))
+    counts = off.select("q", (-(F.col("s") > F.col("true")).cast("long")).alias("above"), (-(F.col("s") >= F.col("true")).cast("long")).alias("not_below"))
+    block: list = []
+
+    def scored(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["qvec"] for r in rows], dtype=np.float64), np.array([r["true"] for r in rows])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q, t = shared.value
+            above, not_below = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+            for pdf in batches:
+                for k in range(0, len(pdf), 256):
+                    v = np.array(pdf["vec"].iloc[k : k + 256].tolist(), dtype=np.float64)
+                    if len(v):
+                        s = np.round(-np.sqrt(np.maximum(((q[:, None, :] - v[None, :, :]) ** 2).sum(axis=2), 0)), round_to)
+                        above += (s > t[:, None]).sum(axis=1)
+                        not_below += (s >= t[:, None]).sum(axis=1)
+            yield pd.DataFrame({"q": ids, "above": above, "not_below": not_below})
+
+        return entities.select("vec").filter("vec is not null").mapInPandas(run, f"q {dict(queries.dtypes)['q']}, above long, not_below long")
+
+    for r in true.select("q", "qvec", "true").toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK:
+            counts = counts.unionByName(scored(block))
+            block = []
+    if block:
+        counts = counts.unionByName(scored(block))
+    sums = counts.groupBy("q").agg(F.sum("above").alias("above"), F.sum("not_below").alias("not_below"))
+    return sums.select("q", ((F.col("above") + 1 + F.col("not_below")) / 2).alias("rank"))
 
 
 def useful_neighbour(uri: Column, label: Column, base: str = "http://dbpedia.org/resource/") -> Column:

@@ -88,14 +88,20 @@ def blocks(entities: DataFrame, triples: DataFrame, limit: int = 15) -> DataFram
 
 
 def neighbour_seeds(questions: DataFrame, keywords: DataFrame, most: int = 2) -> DataFrame:
-    """(qid, place, seed): the seeds whose keyword a question holds. keywords: (ord, keyword, seed), a small fixed table."""
-    hit = questions.join(F.broadcast(keywords.limit(MAX_KEYWORDS)), F.contains(F.lower("question"), F.col("keyword")))
+    """(qid, place, seed): the seeds whose keyword a question holds. keywords: (ord, keyword, seed), a table of at most ``MAX_KEYWORDS``."""
+    rows = keywords.select("ord", "keyword", "seed").limit(MAX_KEYWORDS + 1).collect()
+    if len(rows) > MAX_KEYWORDS:
+        raise ValueError(f"over {MAX_KEYWORDS} keywords")
+    if not rows:
+        return questions.select("qid", F.lit(1).alias("place"), F.lit("").alias("seed")).limit(0)
+    table = F.array(*(F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["keyword"]).alias("keyword"), F.lit(r["seed"]).alias("seed")) for r in rows))
+    hit = questions.select("qid", F.explode(F.filter(table, lambda k: F.contains(F.lower(F.col("question")), k["keyword"]))).alias("k")).select("qid", "k.*")
     first = hit.groupBy("qid", "seed").agg(F.min("ord").alias("ord"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("ord", "seed"))).filter(F.col("place") <= most).select("qid", "place", "seed")
 
 
-#: Keywords of a question table; a fixed table of a few.
-MAX_KEYWORDS = 10_000
+#: Keywords that questions are searched for.
+MAX_KEYWORDS = 1_000
 
 
 def neighbour_facts(seeds: DataFrame, neighbours: DataFrame, triples: DataFrame, each: int = 3, limit: int = 5) -> DataFrame:
