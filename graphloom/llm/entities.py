@@ -180,9 +180,14 @@ def near_names(a: DataFrame, b: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(part, name_a, name_b): all pairs of names (columns part, name) whose vectors differ in at most ``radius`` bits."""
     if radius > RADIUS:
         raise ValueError(f"the search is exact up to {RADIUS} bits")
-    x, y = (_around(_vectors(df)).select("key", F.col("part").alias(f"part_{s}"), F.col("name").alias(f"name_{s}"), *(F.col(f"v{i}").alias(f"v{i}_{s}") for i in range(4))) for df, s in ((a, "a"), (b, "b")))
+    va, vb = (_vectors(df).withColumn("id", F.xxhash64("part", "name")) for df in (a, b))
+    x, y = (_around(v).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "v0", "v1", "v2", "v3"))) for v, s in ((va, "a"), (vb, "b")))
     apart = sum((F.bit_count(F.col(f"v{i}_a").bitwiseXOR(F.col(f"v{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("v0_a").bitwiseXOR(F.col("v0_b"))))
-    return x.join(y, "key").filter((F.col("part_a") == F.col("part_b")) & (apart <= radius)).select(F.col("part_a").alias("part"), "name_a", "name_b").distinct()
+    # each vector has 272 keys, which the planner's estimate of an explode doesn't know of: without the hint it would broadcast a side
+    close = x.join(y.hint("merge"), "key").filter(apart <= radius).select("id_a", "id_b").distinct()
+    name = lambda v, s: v.select(F.col("id").alias(f"id_{s}"), F.col("part").alias(f"part_{s}"), F.col("name").alias(f"name_{s}"))
+    named = close.join(name(va, "a"), "id_a").join(name(vb, "b"), "id_b")
+    return named.filter(F.col("part_a") == F.col("part_b")).select(F.col("part_a").alias("part"), "name_a", "name_b").distinct()
 
 
 FEATURES = ("name", "maker", "maker_differs", "year", "year_differs", "platform", "platform_differs", "region", "region_differs")
