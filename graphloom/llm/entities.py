@@ -181,7 +181,9 @@ def near_names(a: DataFrame, b: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > RADIUS:
         raise ValueError(f"the search is exact up to {RADIUS} bits")
     va, vb = (_vectors(df).withColumn("id", F.xxhash64("part", "name")) for df in (a, b))
-    x, y = (_around(v).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "v0", "v1", "v2", "v3"))) for v, s in ((va, "a"), (vb, "b")))
+    # an explode of 272 rows needs partitions for its output, not for its small input
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.sparkSession.sparkContext.defaultParallelism)
+    x, y = (_around(v.repartition(parts, "id")).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "v0", "v1", "v2", "v3"))) for v, s in ((va, "a"), (vb, "b")))
     apart = sum((F.bit_count(F.col(f"v{i}_a").bitwiseXOR(F.col(f"v{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("v0_a").bitwiseXOR(F.col("v0_b"))))
     # each vector has 272 keys, which the planner's estimate of an explode doesn't know of: without the hint it would broadcast a side
     close = x.join(y.hint("merge"), "key").filter(apart <= radius).select("id_a", "id_b").distinct()
