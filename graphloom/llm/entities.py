@@ -192,9 +192,19 @@ def near_names(a: DataFrame, b: DataFrame, radius: int = RADIUS) -> DataFrame:
     return named.filter(F.col("part_a") == F.col("part_b")).select(F.col("part_a").alias("part"), "name_a", "name_b").distinct()
 
 
-FEATURES = ("name", "maker", "maker_differs", "year", "year_differs", "platform", "platform_differs", "region", "region_differs")
+FEATURES = ("name", "word", "maker", "maker_differs", "year", "year_differs", "platform", "platform_differs", "region", "region_differs")
 #: Weights where no aligned pairs are known: intercept, then the features.
-DEFAULT_WEIGHTS = (-9.0, 9.0, 4.0, -4.0, 2.5, -3.0, 1.5, -1.5, 1.0, -1.0)
+DEFAULT_WEIGHTS = (-10.0, 7.0, 4.0, 4.0, -4.0, 2.5, -3.0, 1.5, -1.5, 1.0, -1.0)
+
+
+def _least_word(xs: list[str], ys: list[str]) -> float:
+    """Of the best pair of names: the similarity of the word that has the least like it on the other side."""
+    best = 0.0
+    for x in xs:
+        for y in ys:
+            a, b = sorted((x.split(), y.split()), key=len)
+            best = max(best, min((max(dice(grams(v), grams(w)) for w in b) for v in a), default=0.0))
+    return best
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +217,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             gap = min((abs(int(x) - int(y)) for x in r.years for y in r.years_b), default=None)
             plat = None if not len(r.platforms) or not len(r.platforms_b) else bool(set(r.platforms) & set(r.platforms_b))
             reg = None if not len(r.regions) or not len(r.regions_b) else bool(set(r.regions) & set(r.regions_b))
-            rows.append((r.id, r.id_b, name, maker or 0.0, 0.0 if maker is None else float(maker < 0.55), 0.0 if gap is None else float(gap <= 1), 0.0 if gap is None else float(min(max(gap - 1, 0), 3)), float(plat is True), float(plat is False), float(reg is True), float(reg is False)))
+            rows.append((r.id, r.id_b, name, _least_word(r.names, r.names_b), maker or 0.0, 0.0 if maker is None else float(maker < 0.55), 0.0 if gap is None else float(gap <= 1), 0.0 if gap is None else float(min(max(gap - 1, 0), 3)), float(plat is True), float(plat is False), float(reg is True), float(reg is False)))
         yield pd.DataFrame(rows, columns=["id", "id_b", *FEATURES])
 
 
