@@ -13,7 +13,7 @@ name plus its edits can't match, so they are dropped before substrings are made.
 
 Defined cases: null, blank and meaningless labels give ``NONE``; names as short as four characters match
 only as they are; several entries with the same name are a tie; repeated rows keep their own
-``mapping_id``; other columns are ignored; an empty list gives ``NONE`` for every row.
+``mapping_id``, rows without one aren't reported; other columns are ignored; an empty list gives ``NONE`` for every row.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def _numbers(x: str, duck: bool) -> str:
 def mapped(mapping: DataFrame, canonical: DataFrame) -> DataFrame:
     """(mapping_id, wikidata_qid) of each ``typed_value`` row; ``NONE`` where no entry is near."""
     sql = mapping.sparkSession.sql
-    typed = mapping.filter("status = 'typed_value'").select(F.col("mapping_id"), F.col("label"))
+    typed = mapping.filter("status = 'typed_value' and mapping_id is not null").select(F.col("mapping_id"), F.col("label"))
     labels = typed.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("_rows"))
     names = sql(
         f"""WITH n AS (

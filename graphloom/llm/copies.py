@@ -8,7 +8,7 @@ classes with several members by a join that splits hot classes, so no class is g
 
 Defined cases: a null text or address, or a text without letter or digit: no copies. Null type or
 label equals null only. An empty address is a value like any other. Repeated ``mention_id`` values
-count as one row. Other columns are ignored. An empty table gives an empty result.
+count as one row, rows without one aren't reported. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def copy_classes(mentions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     rows = (
         mentions.select(F.col("mention_id"), known("type").alias("_t"), known("label").alias("_l"), F.col("text").alias("_x"), F.col("source_url").alias("_u"))
-        .filter(F.col("_x").isNotNull() & F.col("_u").isNotNull() & F.col("_x").rlike(r"[\p{L}\p{N}]"))
+        .filter(F.col("mention_id").isNotNull() & F.col("_x").isNotNull() & F.col("_u").isNotNull() & F.col("_x").rlike(r"[\p{L}\p{N}]"))
         .withColumn("_k1", F.xxhash64("_t", "_l", F.length(F.regexp_replace("_x", _NOT_ALNUM, "")), F.length(F.regexp_replace("_u", _NOT_ALNUM, ""))))
     )
     rows = _several(rows, "_k1", hot_rows)

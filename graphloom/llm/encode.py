@@ -198,6 +198,6 @@ def ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
                 if len(at):
                     yield pd.DataFrame({"id": pdf["id"].iloc[at].to_numpy(), "ids": encoder.texts([texts[i] for i in at])})
 
-    rows = spread(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
+    rows = spread(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null"), "id")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return rows.mapInPandas(encode, schema).withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ Plan: one pass gives (page, token, counts); a partial aggregate over tokens give
 evidence; tokens whose evidence changes a decision go back to their pages by a join that splits hot
 tokens; a second pass cuts the texts. No table of tokens is broadcast or collected.
 
-Defined cases: null, empty and blank texts give no row; a text without terminators is one sentence a
+Defined cases: null, empty and blank texts and rows without an id give no row; a text without terminators is one sentence a
 block; rows that repeat a page_id with the same text give its sentences once; other columns are
 ignored. Unmatched quote marks and brackets are ordinary characters. A heading is a line between
 ``=`` marks, or behind ``#`` marks, or a block of its own between empty lines.
@@ -448,7 +448,7 @@ def _cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def sentences(pages: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """(id, sent_start, sent_end) of every sentence of every text."""
-    rows = spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"\S")), "page_id")
+    rows = spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(text_col).alias("text")).filter(F.col("page_id").isNotNull() & F.col("text").rlike(r"\S")), "page_id")
     seen = rows.mapInPandas(_evidence_rows, "page_id long, key string, n long, ends long, non_ends long")
     tokens = seen.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "ends", "non_ends")), F.count(F.lit(1)).alias("_rows"))
     abbreviation = ((F.col("non_ends") >= 2) & (F.col("non_ends") >= 0.05 * F.col("n"))) | ((F.col("ends") == 0) & (F.col("n") >= NEVER)) | ((F.col("ends") <= 0.02 * F.col("n")) & (F.col("n") >= 5 * NEVER))

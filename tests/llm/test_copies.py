@@ -48,3 +48,7 @@ def test_very_long_texts_and_repeated_rows(spark):
     long = "Long Word " * 20_000
     df = rows(spark, (1, long, "A", "L", "u"), (2, long.upper(), "A", "L", "u"), (2, long.upper(), "A", "L", "u"))
     assert pairs(df) == [(1, 2)]
+
+
+def test_rows_without_an_id(spark):
+    assert pairs(rows(spark, (None, "a", "A", "L", "u"), (1, "A", "A", "L", "u"), (2, "a", "A", "L", "u"))) == [(1, 2)]

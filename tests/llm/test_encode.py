@@ -41,3 +41,8 @@ def test_table(spark):
     got = {r["doc_id"]: r["ids"] for r in X.ids(df).collect()}
     assert got == {1: want("Hello there"), 2: [], 3: []}
     assert X.ids(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a"), (2, "a")], "doc_id long, text string")
+    assert [r["doc_id"] for r in X.ids(df).collect()] == [2]

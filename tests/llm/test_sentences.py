@@ -63,3 +63,8 @@ def test_table(spark):
 
 def test_very_long_text():
     assert len(S.split("The lamp burns. " * 5000, {})) == 5000
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "One. Two."), (2, "Three.")], "page_id long, text string")
+    assert [tuple(r) for r in S.sentences(df).collect()] == [(2, 0, 6)]
