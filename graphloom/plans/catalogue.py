@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import fixed, terms, vectors
@@ -370,7 +370,10 @@ def doc_clean_filter(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("n_words", terms.word_count("clean")).filter("n_words >= 100").select("doc_id", F.length("clean").cast("long").alias("n_clean"), F.col("n_words").cast("long").alias("n_words"))
 
 
-_HTML_SPARK = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title><style>p { }</style></head><body><nav>menu</nav><script>x</script><p>"), F.col("text"), F.lit("</p></body></html>"))
+def _html() -> Column:
+    return F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title><style>p { }</style></head><body><nav>menu</nav><script>x</script><p>"), F.col("text"), F.lit("</p></body></html>"))
+
+
 _HTML_SQL = "'<html><head><title>' || coalesce(title, '') || '</title><style>p { }</style></head><body><nav>menu</nav><script>x</script><p>' || text || '</p></body></html>'"
 
 
@@ -379,7 +382,7 @@ _HTML_SQL = "'<html><head><title>' || coalesce(title, '') || '</title><style>p {
     + f") AS n FROM (SELECT page_id, regexp_extract({_HTML_SQL}, '(?is)<title>(.*?)</title>', 1) AS title, {_HTML_SQL} AS html FROM crawler_output WHERE text IS NOT NULL)"
 )
 def page_main_text(spark: SparkSession, d: str) -> DataFrame:
-    pages = load(spark, d, "crawler_output").filter("text is not null").select("page_id", _HTML_SPARK.alias("html"))
+    pages = load(spark, d, "crawler_output").filter("text is not null").select("page_id", _html().alias("html"))
     return pages.select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.length(terms.main_text("html")).cast("long").alias("n"))
 
 
