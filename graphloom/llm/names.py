@@ -150,9 +150,9 @@ def phonetic(word: str) -> str:
 
 
 def codes(name: str) -> list[str]:
-    """The phonetic code and each with one symbol left out."""
+    """The phonetic code and each with one symbol left out, however short it is."""
     c = phonetic(name)
-    return sorted({c, *(c[:i] + c[i + 1 :] for i in range(len(c)))}) if len(c) > 3 else [c]
+    return sorted({c, *(c[:i] + c[i + 1 :] for i in range(len(c)))})
 
 
 class Vocabulary:
@@ -320,7 +320,7 @@ def clusters(mentions: DataFrame) -> DataFrame:
     whole = cut(parsed.filter(~F.col("short")).groupBy("label", "qualifier", "name").agg(F.first("codes").alias("codes"), F.count(F.lit(1)).alias("texts")).withColumn("node", node))
     blocked = whole.select("node", "label", "qualifier", "name", "texts", F.explode("codes").alias("code"))
     a, b = (blocked.select(F.col("label"), F.col("qualifier"), F.col("code"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "name", "texts"))) for x in "ab")
-    near = a.join(b, ["label", "qualifier", "code"]).filter("node_a < node_b").select("node_a", "node_b", "name_a", "name_b").distinct()
+    near = a.join(b, ["label", "qualifier", "code"]).filter("node_a < node_b AND abs(length(name_a) - length(name_b)) <= 2").select("node_a", "node_b", "name_a", "name_b").distinct()
     edges = near.filter(_same_name("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     entity = cut(whole.join(connected_components(edges), "node", "left").withColumn("entity", F.coalesce("component", "node")).drop("component"))
     # initials and cut-off given names: the one entity that fits
@@ -329,7 +329,7 @@ def clusters(mentions: DataFrame) -> DataFrame:
     fit = (
         short.select("label", F.col("qualifier").alias("cut"), F.col("name").alias("short_name"), F.explode("codes").alias("code"), F.substring("qualifier", 1, 1).alias("initial"))
         .join(words_of.select("label", F.explode("codes").alias("code"), F.substring("word", 1, 1).alias("initial"), "word", "name", "entity"), ["label", "code", "initial"])
-        .filter(F.col("word").startswith(F.col("cut")))
+        .filter(F.col("word").startswith(F.col("cut")) & (F.abs(F.length("short_name") - F.length("name")) <= 2))
         .select("label", "cut", "short_name", "name", "entity").distinct()
         .filter(_same_name("short_name", "name"))
         .groupBy("label", "cut", "short_name").agg(F.min("entity").alias("entity"), F.max("entity").alias("other"))

@@ -41,3 +41,14 @@ def test_found(spark):
     got = {tuple(r) for r in N.found(df).collect()}
     assert got == {("Bugdurek, Timothy", "TIMOTHY  BUGDUREK"), ("Bugdurek, Timothy", "Timothy Bugdurek"), ("TIMOTHY  BUGDUREK", "Timothy Bugdurek")}
     assert N.found(df.limit(0)).count() == 0
+
+
+def test_a_consonant_typo_in_a_short_name_leaves_a_block_in_common():
+    for a, b in (("novak", "noak"), ("marlow", "malrow"), ("weber", "weser"), ("novak", "novlak"), ("aiel", "aier"), ("aiea", "aied")):
+        assert N.same_name(a, b) and set(N.codes(a)) & set(N.codes(b)), (a, b)
+
+
+def test_short_names_with_a_consonant_typo_are_found(spark):
+    rows = [("Tim Novak",), ("Timothy Noak",), ("Tim Marlow",), ("Timothy Malrow",), ("Tim Gruen",)]
+    got = {tuple(r) for r in N.found(spark.createDataFrame(rows, "text string").selectExpr("text", "'Person' as label")).collect()}
+    assert got == {("Tim Novak", "Timothy Noak"), ("Tim Marlow", "Timothy Malrow")}
