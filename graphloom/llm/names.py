@@ -3,9 +3,10 @@
 Distinct spellings are parsed into a qualifier (a person's given name, an organisation's kind of
 business) and a name proper. The words that serve as qualifiers are learned from the corpus: they stand
 beside many different partners. Nicknames come from a fixed table and from spellings that show both
-(Hannelore “Hanne” X). Parsed forms are blocked by the phonetic codes of their sorted parts, each code
-also with one symbol left out, so that a typo changes no block; forms of a block are compared by
-Jaro-Winkler and edit distance, and accepted pairs are clustered by connected components. Forms with an
+(Hannelore “Hanne” X). Parsed forms are blocked by the phonetic codes of their names
+proper, as written and with the parts sorted, each code also with one symbol left out, so that a typo of
+one consonant or another order leaves a block in common; forms of a block are compared by Jaro-Winkler
+and edit distance, the parts in any order, and accepted pairs are clustered by connected components. Forms with an
 initial or a cut-off given name join the one cluster that they fit; where they fit several, none.
 
 All work is on distinct spellings: a name repeated a billion times is one row. The learned words are
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -149,10 +151,21 @@ def phonetic(word: str) -> str:
     return out or "0"
 
 
+def _left_out(c: str) -> list[str]:
+    """A code and each with one symbol left out."""
+    return [c, *(c[:i] + c[i + 1 :] for i in range(len(c)))]
+
+
+def _sorted_codes(parts: list[str]) -> set[str]:
+    """The codes of parts, sorted after a symbol is left out, so that neither order nor a typo changes them all."""
+    cs = [phonetic(p) for p in parts]
+    return {" ".join(sorted([*cs[:i], x, *cs[i + 1 :]])) for i, c in enumerate(cs) for x in _left_out(c)}
+
+
 def codes(name: str) -> list[str]:
-    """The phonetic code and each with one symbol left out, however short it is."""
-    c = phonetic(name)
-    return sorted({c, *(c[:i] + c[i + 1 :] for i in range(len(c)))})
+    """The phonetic code and each with one symbol left out, however short it is; of several parts also in sorted order."""
+    parts = name.split()
+    return sorted({*_left_out(phonetic("".join(parts))), *(_sorted_codes(parts) if len(parts) > 1 else ())})
 
 
 class Vocabulary:
@@ -202,24 +215,30 @@ class Vocabulary:
 
 def parse(text: str, label: str, v: Vocabulary) -> tuple[str, bool, str]:
     """(qualifier, whether it is cut short, name proper); ('', False, '') where there are no letters."""
+    q, short, parts = parse_parts(text, label, v)
+    return q, short, "".join(parts)
+
+
+def parse_parts(text: str, label: str, v: Vocabulary) -> tuple[str, bool, list[str]]:
+    """``parse`` with the parts of the name proper in written order."""
     tokens, before_comma, _, dotted = words(text, label)
     if not any(len(t) > 1 for t in tokens):
-        return "", False, "".join(tokens)
+        return "", False, ["".join(tokens)] if tokens else []
     if label != "Person":
         flat: list[str] = []
         for t in tokens:
             flat += [t] if v.resolve(t, label, False, False) else v.unglue(t, label)
         cut_off = [t for t in flat if t in dotted and len(t) >= 3 and v.starting(t, label)]
         if cut_off and len(flat) > len(cut_off):
-            return cut_off[-1], True, "".join(t for t in flat if t not in cut_off and not v.resolve(t, label))
+            return cut_off[-1], True, [t for t in flat if t not in cut_off and not v.resolve(t, label)]
         found = [(t, v.resolve(t, label)) for t in flat]
         if all(q for _, q in found):  # the name itself looks like a kind of business
             found[0] = (found[0][0], "")
-        return " ".join(sorted({q for _, q in found if q})), False, "".join(t for t, q in found if not q)
+        return " ".join(sorted({q for _, q in found if q})), False, [t for t, q in found if not q]
     if sum(len(t) > 1 for t in tokens) == 1 and len(tokens) == 1:
         tokens = v.unglue(tokens[0], label)
         if len(tokens) == 1:
-            return "", False, tokens[0]
+            return "", False, tokens
     order = tokens[before_comma:] + tokens[:before_comma]
     full = [(i, v.resolve(t, label, t in dotted, False)) for i, t in enumerate(order) if len(t) > 1]
     at = next((i for i, q in full if q), None)
@@ -228,22 +247,22 @@ def parse(text: str, label: str, v: Vocabulary) -> tuple[str, bool, str]:
         if begun and sum(len(t) > 1 for t in order) > 1:
             i = begun[0]
             fit = v.starting(order[i], label)
-            name = "".join(t for j, t in enumerate(order) if j != i and len(t) > 1)
+            name = [t for j, t in enumerate(order) if j != i and len(t) > 1]
             return (fit[0], False, name) if len(fit) == 1 else (order[i], True, name)
     if at is None and not (len(order[0]) == 1 or order[0] in dotted):
         near = [(i, q) for i, t in enumerate(order) if len(t) > 3 and (q := v.resolve(t, label))]
         at = near[0][0] if near else None
     if at is not None:
         q = v.resolve(order[at], label, order[at] in dotted)
-        name = "".join(t for i, t in enumerate(order) if i != at and len(t) > 1)
-        return (q, False, name) if name else ("", False, q)
+        name = [t for i, t in enumerate(order) if i != at and len(t) > 1]
+        return (q, False, name) if name else ("", False, [q])
     initials = [t for t in order if len(t) == 1]
     rest = [t for t in order if len(t) > 1]
     if len(rest) == 1:
-        return (initials[0], True, rest[0]) if initials else ("", False, rest[0])
+        return (initials[0], True, rest) if initials else ("", False, rest)
     cut_short = order[0] in dotted or len(order[0]) <= 4 and before_comma > 0
     first = order[0] if len(order[0]) > 1 else initials[0]
-    return first, cut_short or len(first) == 1, "".join(t for t in rest if t != first or first == "") or first
+    return first, cut_short or len(first) == 1, [t for t in rest if t != first] or [first]
 
 
 def same_name(a: str, b: str) -> bool:
@@ -255,6 +274,30 @@ def same_name(a: str, b: str) -> bool:
     return edits(a, b, most) <= most and jaro_winkler(a, b) >= 0.88
 
 
+def same_parts(a: str, b: str) -> bool:
+    """Whether two names proper, with blanks between their parts, are spellings of one in some order of the parts."""
+    x, y = a.split(), b.split()
+    if same_name("".join(x), "".join(y)):
+        return True
+    if len(x) != len(y) or len(x) == 1:
+        return False
+    left, at = list(y), []
+    for i, p in enumerate(x):
+        if p in left:
+            left.remove(p)
+        else:
+            at.append(i)
+    if len(at) > 2:  # same_name allows two edits, so no more parts can differ
+        return False
+    for order in permutations(left):
+        turned = list(x)
+        for i, p in zip(at, order, strict=True):
+            turned[i] = p
+        if same_name("".join(x), "".join(turned)):
+            return True
+    return False
+
+
 def _learn(spellings: DataFrame) -> Vocabulary:
     """The words beside many partners, and the nicknames shown beside given names."""
 
@@ -299,8 +342,9 @@ def forms(spellings: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for label, text in zip(pdf["label"], pdf["text"], strict=True):
-                q, short, name = parse(text, label, shared.value)
-                if name:
+                q, short, parts = parse_parts(text, label, shared.value)
+                if parts:
+                    name = " ".join(parts)
                     rows.append((label, text, q, short, name, codes(name)))
             yield pd.DataFrame(rows, columns=["label", "text", "qualifier", "short", "name", "codes"])
 
@@ -308,8 +352,8 @@ def forms(spellings: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.BooleanType())
-def _same_name(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_name(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+def _same_parts(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_parts(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def clusters(mentions: DataFrame) -> DataFrame:
@@ -320,8 +364,8 @@ def clusters(mentions: DataFrame) -> DataFrame:
     whole = cut(parsed.filter(~F.col("short")).groupBy("label", "qualifier", "name").agg(F.first("codes").alias("codes"), F.count(F.lit(1)).alias("texts")).withColumn("node", node))
     blocked = whole.select("node", "label", "qualifier", "name", "texts", F.explode("codes").alias("code"))
     a, b = (blocked.select(F.col("label"), F.col("qualifier"), F.col("code"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "name", "texts"))) for x in "ab")
-    near = a.join(b, ["label", "qualifier", "code"]).filter("node_a < node_b AND abs(length(name_a) - length(name_b)) <= 2").select("node_a", "node_b", "name_a", "name_b").distinct()
-    edges = near.filter(_same_name("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    near = a.join(b, ["label", "qualifier", "code"]).filter("node_a < node_b AND abs(length(replace(name_a, ' ')) - length(replace(name_b, ' '))) <= 2").select("node_a", "node_b", "name_a", "name_b").distinct()
+    edges = near.filter(_same_parts("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     entity = cut(whole.join(connected_components(edges), "node", "left").withColumn("entity", F.coalesce("component", "node")).drop("component"))
     # initials and cut-off given names: the one entity that fits
     short = parsed.filter("short").groupBy("label", "qualifier", "name").agg(F.first("codes").alias("codes"))
@@ -329,9 +373,9 @@ def clusters(mentions: DataFrame) -> DataFrame:
     fit = (
         short.select("label", F.col("qualifier").alias("cut"), F.col("name").alias("short_name"), F.explode("codes").alias("code"), F.substring("qualifier", 1, 1).alias("initial"))
         .join(words_of.select("label", F.explode("codes").alias("code"), F.substring("word", 1, 1).alias("initial"), "word", "name", "entity"), ["label", "code", "initial"])
-        .filter(F.col("word").startswith(F.col("cut")) & (F.abs(F.length("short_name") - F.length("name")) <= 2))
+        .filter(F.col("word").startswith(F.col("cut")) & F.expr("abs(length(replace(short_name, ' ')) - length(replace(name, ' '))) <= 2"))
         .select("label", "cut", "short_name", "name", "entity").distinct()
-        .filter(_same_name("short_name", "name"))
+        .filter(_same_parts("short_name", "name"))
         .groupBy("label", "cut", "short_name").agg(F.min("entity").alias("entity"), F.max("entity").alias("other"))
     )
     fit = fit.select("label", F.col("cut").alias("qualifier"), F.col("short_name").alias("name"), "entity", "other")

@@ -52,3 +52,15 @@ def test_short_names_with_a_consonant_typo_are_found(spark):
     rows = [("Tim Novak",), ("Timothy Noak",), ("Tim Marlow",), ("Timothy Malrow",), ("Tim Gruen",)]
     got = {tuple(r) for r in N.found(spark.createDataFrame(rows, "text string").selectExpr("text", "'Person' as label")).collect()}
     assert got == {("Tim Novak", "Timothy Noak"), ("Tim Marlow", "Timothy Malrow")}
+
+
+def test_parts_of_a_name_in_any_order():
+    for a, b in (("lopez garcia", "garcia lopez"), ("lopez garcia", "farcia lopez"), ("van der berg", "berg van der"), ("lopez garcia", "garzia lopes"), ("van der berg", "vander berg")):
+        assert N.same_parts(a, b) and set(N.codes(a)) & set(N.codes(b)), (a, b)
+    assert not N.same_parts("lopez garcia", "lopez moreno") and not N.same_parts("lopez garcia", "garcia lorca")
+
+
+def test_names_of_two_parts_in_turned_order_are_found(spark):
+    rows = [("Tim Lopez Garcia", "Person"), ("Garcia Lopez Tim", "Person"), ("Garzia Lopez, Tim", "Person"), ("Tim Lopez Moreno", "Person"), ("Amber Causeway Ltd.", "Organization"), ("Causeway Amber", "Organization")]
+    got = {tuple(r) for r in N.found(spark.createDataFrame(rows, "text string, label string")).collect()}
+    assert got == {("Garcia Lopez Tim", "Tim Lopez Garcia"), ("Garcia Lopez Tim", "Garzia Lopez, Tim"), ("Garzia Lopez, Tim", "Tim Lopez Garcia"), ("Amber Causeway Ltd.", "Causeway Amber")}
