@@ -3,11 +3,14 @@
 Distinct spellings are parsed into a qualifier (a person's given name, an organisation's kind of
 business) and a name proper. The words that serve as qualifiers are learned from the corpus: they stand
 beside many different partners. Nicknames come from a fixed table and from spellings that show both
-(Hannelore “Hanne” X). Parsed forms are blocked by the phonetic codes of their names
-proper, as written and with the parts sorted, each code also with one symbol left out, so that a typo of
-one consonant or another order leaves a block in common; forms of a block are compared by Jaro-Winkler
-and edit distance, the parts in any order, and accepted pairs are clustered by connected components. Forms with an
-initial or a cut-off given name join the one cluster that they fit; where they fit several, none.
+(Hannelore “Hanne” X). Parsed forms are blocked by the phonetic codes of their names proper, as
+written and with the parts sorted, each code also with one symbol left out, so that a typo of one
+consonant or another order leaves a block in common; forms of a block are compared by Jaro-Winkler and
+edit distance, the parts in any order. Persons whose given name isn't a learned word, however rare, also
+meet in blocks of all parts of the name, without the qualifier, where given names are compared as names
+are, nicknames having been resolved; two given names a letter apart aren't told from a typo there.
+Accepted pairs are clustered by connected components. Forms with an initial or a cut-off given name join
+the one cluster that they fit; where they fit several, none.
 
 All work is on distinct spellings: a name repeated a billion times is one row. The learned words are
 those beside at least 1/2000 of the distinct spellings, so at most 2000 x 8 words are broadcast, whatever the
@@ -331,22 +334,40 @@ def _learn(spellings: DataFrame) -> Vocabulary:
     return Vocabulary(known, {k: w for k, w in nicknames.items() if w in known.get("Person", ())})
 
 
-_FORM = "label string, text string, qualifier string, short boolean, name string, codes array<string>"
+def same_person(a: str, b: str) -> bool:
+    """Whether two persons' names with all their parts, the given name first, are spellings of one: given names and
+    names proper alike, or the parts alike one by one in another order."""
+    x, y = a.split(), b.split()
+    if same_name(x[0], y[0]) and same_parts(" ".join(x[1:]), " ".join(y[1:])):
+        return True
+
+    def fit(x: list[str], y: list[str]) -> bool:
+        return not x or any(same_name(x[0], p) and fit(x[1:], y[:i] + y[i + 1 :]) for i, p in enumerate(y))
+
+    return len(x) == len(y) and fit(x, y)
+
+
+_FORM = "label string, text string, qualifier string, short boolean, name string, codes array<string>, loose array<string>"
 
 
 def forms(spellings: DataFrame) -> DataFrame:
-    """The distinct spellings (label, text) with their parsed forms and phonetic codes."""
+    """The distinct spellings (label, text) with their parsed forms and phonetic codes.
+
+    ``loose``: codes of all parts of a person's name, for those whose given name isn't a learned one.
+    """
     shared = spellings.sparkSession.sparkContext.broadcast(_learn(spellings))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        learned = shared.value.known.get("Person", frozenset())
         for pdf in batches:
             rows = []
             for label, text in zip(pdf["label"], pdf["text"], strict=True):
                 q, short, parts = parse_parts(text, label, shared.value)
                 if parts:
                     name = " ".join(parts)
-                    rows.append((label, text, q, short, name, codes(name)))
-            yield pd.DataFrame(rows, columns=["label", "text", "qualifier", "short", "name", "codes"])
+                    loose = sorted(_sorted_codes([q, *parts])) if label == "Person" and q and not short and q not in learned else []
+                    rows.append((label, text, q, short, name, codes(name), loose))
+            yield pd.DataFrame(rows, columns=["label", "text", "qualifier", "short", "name", "codes", "loose"])
 
     return spellings.mapInPandas(run, _FORM)
 
@@ -356,16 +377,26 @@ def _same_parts(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_parts(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+@F.pandas_udf(T.BooleanType())
+def _same_person(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_person(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
 def clusters(mentions: DataFrame) -> DataFrame:
     """(label, text, entity) of every spelling of a person or organisation."""
     spellings = mentions.filter(F.col("label").isin(*LABELS) & F.col("text").rlike(r"\S")).groupBy("label", "text").agg(F.count(F.lit(1)).alias("n"))
     parsed = cut(forms(spread(cut(spellings).select("label", "text"), "text")))
     node = F.concat_ws("|", "label", "qualifier", "name")
-    whole = cut(parsed.filter(~F.col("short")).groupBy("label", "qualifier", "name").agg(F.first("codes").alias("codes"), F.count(F.lit(1)).alias("texts")).withColumn("node", node))
+    whole = cut(parsed.filter(~F.col("short")).groupBy("label", "qualifier", "name").agg(F.first("codes").alias("codes"), F.first("loose").alias("loose"), F.count(F.lit(1)).alias("texts")).withColumn("node", node))
     blocked = whole.select("node", "label", "qualifier", "name", "texts", F.explode("codes").alias("code"))
     a, b = (blocked.select(F.col("label"), F.col("qualifier"), F.col("code"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "name", "texts"))) for x in "ab")
     near = a.join(b, ["label", "qualifier", "code"]).filter("node_a < node_b AND abs(length(replace(name_a, ' ')) - length(replace(name_b, ' '))) <= 2").select("node_a", "node_b", "name_a", "name_b").distinct()
     edges = near.filter(_same_parts("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    # given names that aren't learned are no keys: their blocks are of all parts of the name
+    unlearned = whole.select("node", "label", F.concat_ws(" ", "qualifier", "name").alias("name"), F.explode("loose").alias("code"))
+    a, b = (unlearned.select("label", "code", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "name"))) for x in "ab")
+    near = a.join(b, ["label", "code"]).filter("node_a < node_b").select("node_a", "node_b", "name_a", "name_b").distinct()
+    edges = edges.unionByName(near.filter(_same_person("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))).distinct()
     entity = cut(whole.join(connected_components(edges), "node", "left").withColumn("entity", F.coalesce("component", "node")).drop("component"))
     # initials and cut-off given names: the one entity that fits
     short = parsed.filter("short").groupBy("label", "qualifier", "name").agg(F.first("codes").alias("codes"))

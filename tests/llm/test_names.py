@@ -64,3 +64,12 @@ def test_names_of_two_parts_in_turned_order_are_found(spark):
     rows = [("Tim Lopez Garcia", "Person"), ("Garcia Lopez Tim", "Person"), ("Garzia Lopez, Tim", "Person"), ("Tim Lopez Moreno", "Person"), ("Amber Causeway Ltd.", "Organization"), ("Causeway Amber", "Organization")]
     got = {tuple(r) for r in N.found(spark.createDataFrame(rows, "text string, label string")).collect()}
     assert got == {("Garcia Lopez Tim", "Tim Lopez Garcia"), ("Garcia Lopez Tim", "Garzia Lopez, Tim"), ("Garzia Lopez, Tim", "Tim Lopez Garcia"), ("Amber Causeway Ltd.", "Causeway Amber")}
+
+
+def test_given_names_that_are_not_learned_are_compared(spark):
+    rows = [("Zbigniew Novak",), ("Zbignew Novak",), ("Novak Zbigniew",), ("Novakk Zbiggniew",), ("William Marlow",), ("Marlow Bill",), ("Zdenek Novak",), ("Zbigniew Marlow",)]
+    members = N.clusters(spark.createDataFrame(rows, "text string").selectExpr("text", "'Person' as label")).collect()
+    got = {}
+    for r in members:
+        got.setdefault(r["entity"], set()).add(r["text"])
+    assert sorted(map(sorted, got.values())) == [["Marlow Bill", "William Marlow"], ["Novak Zbigniew", "Novakk Zbiggniew", "Zbignew Novak", "Zbigniew Novak"], ["Zbigniew Marlow"], ["Zdenek Novak"]]
