@@ -5,8 +5,8 @@ Texts become words without case, marks, markup and look-alike letters of other s
 word and moves on, or stays, as a random bit of that word says, so that a window with few words inserted,
 lost or changed writes nearly the same output, and edit distance becomes Hamming distance. Bit sampling
 hashes a few output places to a key; each of ``ROUNDS`` walks has its own places. An item leaked to two
-fifths has many windows in the document, of which one equal key in one round is enough. Pairs that share
-keys are verified exactly: a local alignment of the item with the document around the shared windows counts
+fifths has many windows in the document, of which one equal key in one round is enough. All pairs that
+share a key are verified exactly: a local alignment of the item with the document around the shared windows counts
 the item's words that stand there in the item's order, words with a letter lost, added or swapped included.
 
 The windows of a document are a stream: only keys that some item may have leave the scan. That test is a bitmap
@@ -26,6 +26,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,9 +44,6 @@ SLICE = 20_000
 #: What a foreign or missing word costs in an alignment, against 1 for a word found: a stretch with under
 #: three quarters of its words in common, as questions of the same pattern have, gains nothing.
 GAP = 3
-#: Shared (window, round) keys from which a pair is verified, and the words over which they are spread. An intact
-#: window gives a key in every round; one sentence of the same pattern gives a few keys in one place.
-HITS, SPREAD = 4, 4
 #: Letters of other scripts that look like Latin ones: fixed values.
 LOOK_ALIKE = str.maketrans("аеорсухкнвмтіѕјԁһӏɡοαενικρτυхΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxkhbmtisjdhlgoaevikptuxABEZHIKMNOPTYX")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&[a-z]+;|[­​-‏⁠﻿]")
@@ -142,11 +140,9 @@ def _keys_of(ids: list[int], texts: list[str | None], accept: np.ndarray | None,
 def item_keys(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = _keys_of(pdf["item_id"].tolist(), pdf["text"].tolist(), None, True).rename(columns={"id": "item_id", "place": "item_place"})
-            few = {i for i, t in zip(pdf["item_id"], pdf["text"], strict=True) if len(words(t)) < 2 * WINDOW}
-            yield keys.assign(brief=keys["item_id"].isin(few))
+            yield _keys_of(pdf["item_id"].tolist(), pdf["text"].tolist(), None, True).rename(columns={"id": "item_id", "place": "item_place"})
 
-    return items.select("item_id", "text").filter("item_id is not null").mapInPandas(run, "item_id long, item_place long, key long, brief boolean").distinct()
+    return items.select("item_id", "text").filter("item_id is not null").mapInPandas(run, "item_id long, item_place long, key long").distinct()
 
 
 def _filter(keys: DataFrame) -> np.ndarray | None:
@@ -160,6 +156,7 @@ def _filter(keys: DataFrame) -> np.ndarray | None:
     return bitmap
 
 
+@lru_cache(50_000)
 def _near_forms(w: str) -> set[str]:
     """A word and what is left of it without one letter; swaps share a form."""
     return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} if len(w) > 3 else {w}
@@ -189,8 +186,8 @@ class Item:
         if found is None:
             if w in self.number:
                 found = (self.number[w],)
-            elif len(w) < 4:
-                found = ()
+            elif len(w) < 4 or self.forms.keys().isdisjoint(_near_forms(w)):
+                return ()  # most words of most documents: not kept for each item
             else:
                 found = tuple(sorted({k for f in _near_forms(w) for k in self.forms.get(f, ()) if abs(self.lengths[k] - len(w)) <= 1}))
             if len(self.memo) < 50_000:
@@ -210,10 +207,22 @@ class Item:
                 v = ((v + u) | (v - u)) & full
         return len(self.rows) - v.bit_count()
 
+    def dense(self, part: list[tuple[int, ...]]) -> int:
+        """The item's words in the best stretch, in any order: what ``held`` can't exceed, as each start of an
+        alignment scores as much here or more."""
+        score = count = most = 0
+        for ks in part:
+            if ks:
+                score, count = score + 1, count + 1
+                most = max(most, count)
+            elif (score := score - GAP) < 0:
+                score = count = 0
+        return most
+
     def held(self, part: list[str]) -> int:
         """The item's words that the best local alignment with ``part`` finds in order; 0 if they are too few."""
         like = [self.like(w) for w in part]
-        if not self.rows or self.in_order(like) < self.need:
+        if not self.rows or self.dense(like) < self.need or self.in_order(like) < self.need:
             return 0
         same = np.zeros((len(self.number), len(part)), dtype=bool)
         for j, ks in enumerate(like):
@@ -265,7 +274,7 @@ def candidates(documents: DataFrame, items: DataFrame) -> DataFrame:
     rows = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"), "doc_id")
     shared = rows.mapInPandas(run, "doc_id long, place long, key long").join(keys, "key")
     # windows of one alignment lie near a diagonal; far ones in a long text are looked at apart
-    return shared.groupBy("doc_id", "item_id", "brief", F.floor((F.col("place") - F.col("item_place")) / 64).alias("_d")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count(F.lit(1)).alias("hits"), (F.max("item_place") - F.min("item_place")).alias("spread")).filter((F.col("hits") >= HITS) & ((F.col("spread") >= SPREAD) | F.col("brief"))).select("doc_id", "item_id", "lo", "hi")
+    return shared.groupBy("doc_id", "item_id", F.floor((F.col("place") - F.col("item_place")) / 64).alias("_d")).agg(F.min("place").alias("lo"), F.max("place").alias("hi")).select("doc_id", "item_id", "lo", "hi")
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:

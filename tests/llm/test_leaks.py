@@ -58,3 +58,28 @@ def test_bound_holds():
         item = L.Item(a)
         item.need = 0
         assert item.held(b.split()) <= item.in_order([item.like(w) for w in b.split()])
+
+
+def test_dense_bound_holds():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (" ".join(rng.choice("abcdefghijkl"[: rng.randint(3, 12)]) for _ in range(rng.randint(1, 30))) for _ in range(2))
+        item = L.Item(a)
+        item.need = 0
+        assert item.held(b.split()) <= item.dense([item.like(w) for w in b.split()])
+
+
+def _reworded(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    ws = [word() for _ in range(60)]
+    return " ".join(ws), " ".join([word() for _ in range(30)] + [word() if k % 5 == 4 else w for k, w in enumerate(ws[:40])] + [word() for _ in range(30)])
+
+
+def test_pairs_with_few_shared_keys_are_verified(spark):
+    pairs = [_reworded(k) for k in (3, 5, 8)]
+    for item, doc in pairs:
+        a, b = L._keys_of([0], [item], None, True), L._keys_of([0], [doc], None, True)
+        assert 1 <= len(a.merge(b, on="key")) < 4
+    got = found(docs(spark, *(d for _, d in pairs)), items(spark, *(i for i, _ in pairs)))
+    assert got == [(k, k) for k in range(len(pairs))]
