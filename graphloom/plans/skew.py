@@ -10,7 +10,7 @@ HOT_ROWS = 100_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, tie: Column, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``left`` joined to ``right`` on ``key``; ``right`` has each key once, with its number of left rows in ``rows``.
+    """``left`` joined to ``right`` on ``key``; each row of ``right`` has the number of left rows with its key in ``rows``.
 
     Keys with at least ``hot_rows`` left rows get one copy of their right row per ``hot_rows`` left
     rows, and each left row goes to one of the copies by the hash of ``tie``. The list of hot keys
@@ -18,7 +18,7 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, tie: Column
     no key enters it with fewer rows. Column ``rows`` stays only for joins that keep the right side.
     """
     copies = F.ceil(F.col(rows) / F.lit(float(hot_rows))).cast("int")
-    hot = right.filter(F.col(rows) >= hot_rows).select(F.col(key).alias("_hot_key"), copies.alias("_copies"))
+    hot = right.filter(F.col(rows) >= hot_rows).select(F.col(key).alias("_hot_key"), copies.alias("_copies")).distinct()
     many = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     many = many.withColumn("_salt", F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(tie), F.col("_copies")).cast("int"))).drop("_hot_key", "_copies")
     last = F.when(F.col(rows) >= hot_rows, copies - 1).otherwise(F.lit(0))
