@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.hashing import mixed, numbers
 from graphloom.plans.skew import hot_join
 from graphloom.sources.tables import cut, spread
 
@@ -74,31 +74,6 @@ def _plain(c: str) -> str:
     return "" if unicodedata.combining(c) else c.translate(LOOK_ALIKE)
 
 
-class _Numbers(dict[str, int]):
-    def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        b = w.encode()
-        h = self[w] = (zlib.crc32(b) << 32 | zlib.crc32(b, 0x5BD1E995)) or 1
-        return h
-
-
-_SEEN = _Numbers()
-
-
-def _numbers(ws: list[str]) -> np.ndarray:
-    """A 64-bit number for each word; 0 is kept for padding."""
-    return np.fromiter(map(_SEEN.__getitem__, ws), dtype=np.uint64, count=len(ws))
-
-
-def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = x ^ np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def band(need: int) -> int:
     """The window for an item of which ``need`` words have to be held: never more than are needed."""
     return max(w for w in BANDS if w <= max(min(need, 3), 0.62 * need))
@@ -110,25 +85,25 @@ def _places(w: int, r: int) -> frozenset[int]:
     return frozenset(np.random.default_rng(71 + r + 1000 * w).choice(int(2.2 * w), BANDS[w][0], replace=False).tolist())
 
 
-def window_keys(numbers: np.ndarray, starts: np.ndarray, w: int, r: int) -> np.ndarray:
+def window_keys(ns: np.ndarray, starts: np.ndarray, w: int, r: int) -> np.ndarray:
     """The key in round r of each window of w words that begins at one of ``starts``."""
     key = np.full(len(starts), 1000 * w + r + 1, dtype=np.uint64)
     times = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         if not BANDS[w][0]:
             for t in range(w):
-                key = key * times + numbers[starts + t]
-            return _mixed(key, w).view(np.int64)
+                key = key * times + ns[starts + t]
+            return mixed(key, w).view(np.int64)
         places = _places(w, r)
-        bits, ends, at = _mixed(numbers, r + 100 * w), starts + w, starts.copy()
+        bits, ends, at = mixed(ns, r + 100 * w), starts + w, starts.copy()
         # windows end where their document does or before, but the walk of the last one may stand behind the last word
-        bits, padded = np.append(bits, np.uint64(0)), np.append(numbers, np.uint64(0))
+        bits, padded = np.append(bits, np.uint64(0)), np.append(ns, np.uint64(0))
         for t in range(max(places) + 1):
             inside = at < ends
             if t in places:
                 key = key * times + np.where(inside, padded[at], np.uint64(0))
             at += inside & ((bits[at] >> np.uint64(t)) & np.uint64(1)).view(np.int64).astype(bool)
-    return _mixed(key, w).view(np.int64)
+    return mixed(key, w).view(np.int64)
 
 
 def _keys_of(ids: list[int], texts: list[str | None], bands: list[list[int]], accept: np.ndarray | None) -> pd.DataFrame:
@@ -143,16 +118,16 @@ def _keys_of(ids: list[int], texts: list[str | None], bands: list[list[int]], ac
             if n >= w:
                 at.setdefault(w, []).append((i, offset, n - w + 1))
         if n:
-            parts.append(_numbers(ws))
+            parts.append(numbers(ws, n))
             offset += n
     out = []
     for w, texts_of in at.items():
-        numbers = np.concatenate(parts)
+        words_of = np.concatenate(parts)
         owner, first, k = np.array(texts_of, dtype=np.int64).T
         place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         owner, starts = np.repeat(owner, k), np.repeat(first, k) + place
         for r in range(BANDS[w][1]):
-            key = window_keys(numbers, starts, w, r)
+            key = window_keys(words_of, starts, w, r)
             if accept is not None:
                 slot = key & (FILTER_BITS - 1)
                 ok = np.flatnonzero((accept[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
