@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrays import collected
 from graphloom.llm.hashing import mixed, numbers
 from graphloom.plans.skew import hot_join
 from graphloom.sources.tables import cut, spread
@@ -157,9 +158,9 @@ def item_keys(items: DataFrame) -> DataFrame:
 def _filter(keys: DataFrame) -> np.ndarray:
     """The bitmap of the items' keys, put together in numbers of 64 bits: at most FILTER_BITS / 64 rows, whatever the items."""
     slot = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    cells = keys.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & {FILTER_BITS - 1} & 63 as int))")).alias("bits")).toPandas()
+    cells = collected(keys.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & {FILTER_BITS - 1} & 63 as int))")).alias("bits")))
     bitmap = np.zeros(FILTER_BITS // 64, dtype="<i8")
-    bitmap[cells["cell"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64)
+    bitmap[cells["cell"]] = cells["bits"]
     return bitmap.view(np.uint8)
 
 
