@@ -5,8 +5,8 @@ business) and a name proper. The words that serve as qualifiers are learned from
 beside many different partners. Nicknames come from a fixed table and from spellings that show both
 (Hannelore “Hanne” X). Parsed forms are blocked by the phonetic codes of their names proper, as
 written and with the parts sorted, each code also with one symbol left out, so that a typo of one
-consonant or another order leaves a block in common; forms of a block are compared by Jaro-Winkler and
-edit distance, the parts in any order. Persons whose given name isn't a learned word, however rare, also
+consonant or another order leaves a block in common; forms of a block whose letters, sorted, are near are compared by
+Jaro-Winkler and edit distance, the parts in any order. Blocks and entities of many names are split over tasks. Persons whose given name isn't a learned word, however rare, also
 meet in blocks of all parts of the name, without the qualifier, where given names are compared as names
 are, nicknames having been resolved; two given names a letter apart aren't told from a typo there.
 Accepted pairs are clustered by connected components. Forms with an initial or a cut-off given name join
@@ -14,7 +14,7 @@ the one cluster that they fit; where they fit several, none.
 
 All work is on distinct spellings: a name repeated a billion times is one row. The learned words are
 those beside at least 1/2000 of the distinct spellings, so at most 2000 x 8 words are broadcast, whatever the
-corpus. Pairs are made within clusters only.
+corpus. Pairs are made within clusters only. Spellings of any number of words teach.
 
 Defined cases: null and blank texts and other labels have no pairs; a text without letters has none;
 a spelling found under both labels is compared within each; repeated rows count once; other columns are
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.operators.components import connected_components
+from graphloom.plans.skew import hot_join
 from graphloom.sources.tables import cut, spread
 
 LABELS = ("Person", "Organization")
@@ -56,6 +57,8 @@ _PAIRED = re.compile(r"[“\"«„]\s*([^“”\"«»„]+?)\s*[”\"»“]")
 _DOTTED = re.compile(r"\b(?:[^\W\d_]\.\s?){2,}")
 PARTNERS = 15
 SHARE = 2000
+#: Names of a block, and spellings of an entity, from which they are dealt to several tasks.
+HOT_NAMES = 5_000
 
 
 def fold(s: str) -> str:
@@ -144,11 +147,11 @@ def jaro_winkler(a: str, b: str) -> float:
 _CODES = {c: str(k) for k, cs in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
 
 
-def phonetic(word: str) -> str:
-    """Consonant classes in order, doubled letters being one; vowels don't count. Letters of other scripts stay."""
+def phonetic(word: str, doubled: bool = False) -> str:
+    """Consonant classes in order, doubled letters being one unless asked for; vowels don't count. Letters of other scripts stay."""
     out, last = "", ""
     for c in word:
-        if c != last:
+        if doubled or c != last:
             out += _CODES.get(c, "" if c in "aeiouyhw" else c)
         last = c
     return out or "0"
@@ -161,14 +164,27 @@ def _left_out(c: str) -> list[str]:
 
 def _sorted_codes(parts: list[str]) -> set[str]:
     """The codes of parts, sorted after a symbol is left out, so that neither order nor a typo changes them all."""
-    cs = [phonetic(p) for p in parts]
-    return {" ".join(sorted([*cs[:i], x, *cs[i + 1 :]])) for i, c in enumerate(cs) for x in _left_out(c)}
+    out = set()
+    for doubled in (False, True):
+        cs = [phonetic(p, doubled) for p in parts]
+        out |= {" ".join(sorted([*cs[:i], x, *cs[i + 1 :]])) for i, c in enumerate(cs) for x in _left_out(c)}
+    return out
 
 
 def codes(name: str) -> list[str]:
-    """The phonetic code and each with one symbol left out, however short it is; of several parts also in sorted order."""
+    """The phonetic codes, doubled letters being one and two, and each with one symbol left out, however short it is; of several parts also in sorted order."""
     parts = name.split()
-    return sorted({*_left_out(phonetic("".join(parts))), *(_sorted_codes(parts) if len(parts) > 1 else ())})
+    whole = "".join(parts)
+    return sorted({*_left_out(phonetic(whole)), *_left_out(phonetic(whole, True)), *(_sorted_codes(parts) if len(parts) > 1 else ())})
+
+
+def _forms(word: str, most: int) -> set[str]:
+    """A word with up to ``most`` letters left out."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
 
 class Vocabulary:
@@ -178,6 +194,16 @@ class Vocabulary:
         self.known = {k: frozenset(v) for k, v in known.items()}
         self.nick = {k: v for k, v in (NICKNAMES | nicknames).items() if k not in self.known.get("Person", ())}
         self.nearest: dict[tuple[str, str], str] = {}
+        self.forms: dict[str, dict[str, list[str]]] = {}
+
+    def near(self, token: str, label: str, most: int) -> set[str]:
+        """The known words that may be within ``most`` edits, swaps included: those that share a form with so many letters left out."""
+        if label not in self.forms:
+            forms = self.forms[label] = {}
+            for w in self.known.get(label, ()):
+                for f in _forms(w, 2):
+                    forms.setdefault(f, []).append(w)
+        return {w for f in _forms(token, most) for w in self.forms[label].get(f, ())}
 
     def resolve(self, token: str, label: str, dotted: bool = False, fuzzy: bool = True) -> str:
         """The qualifier that a token stands for, or nothing."""
@@ -194,7 +220,7 @@ class Vocabulary:
             return ""
         if (key := (token, label)) not in self.nearest:
             most = 1 if len(token) < 6 else 2
-            best = min(((e, -jaro_winkler(token, w), w) for w in known if abs(len(w) - len(token)) <= most and (e := edits(token, w, most)) <= most), default=None)
+            best = min(((e, -jaro_winkler(token, w), w) for w in self.near(token, label, most) if (e := edits(token, w, most)) <= most), default=None)
             if len(self.nearest) > 200_000:
                 self.nearest.clear()
             self.nearest[key] = best[2] if best and -best[1] >= 0.82 else ""
@@ -311,7 +337,7 @@ def _learn(spellings: DataFrame) -> Vocabulary:
                 ws, k, nick, dotted = words(text, label)
                 ws = ws[k:] + ws[:k]
                 long = [w for w in ws if len(w) > 2]
-                if 2 <= len(long) <= 8:
+                if len(long) >= 2:
                     for i, w in enumerate(long):
                         rows.append((label, w, long[(i + 1) % len(long)], i == 0, nick if i == 0 else ""))
                         if len(long) > 2:
@@ -382,21 +408,30 @@ def _same_person(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_person(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def _near(blocked: DataFrame, most: int | None) -> DataFrame:
+    """(node_a, node_b, name_a, name_b): pairs of a block whose letters are within ``most`` edits, or four for each part of the name. Blocks of many names are dealt to several tasks."""
+    sizes = blocked.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    a, b = (blocked.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "name", "letters"))) for x in "ab")
+    met = hot_join(a, b.join(sizes, "key"), "key", "_rows", F.col("node_a"), hot_rows=HOT_NAMES)
+    near = f"levenshtein(letters_a, letters_b, {most}) >= 0" if most is not None else "levenshtein(letters_a, letters_b) <= 4 * size(split(name_a, ' '))"
+    return met.filter(F.expr(f"node_a < node_b AND {near}")).select("node_a", "node_b", "name_a", "name_b").distinct()
+
+
 def clusters(mentions: DataFrame) -> DataFrame:
     """(label, text, entity) of every spelling of a person or organisation."""
     spellings = mentions.filter(F.col("label").isin(*LABELS) & F.col("text").rlike(r"\S")).groupBy("label", "text").agg(F.count(F.lit(1)).alias("n"))
     parsed = cut(forms(spread(cut(spellings).select("label", "text"), "text")))
     node = F.concat_ws("|", "label", "qualifier", "name")
     whole = cut(parsed.filter(~F.col("short")).groupBy("label", "qualifier", "name").agg(F.first("codes").alias("codes"), F.first("loose").alias("loose"), F.count(F.lit(1)).alias("texts")).withColumn("node", node))
-    blocked = whole.select("node", "label", "qualifier", "name", "texts", F.explode("codes").alias("code"))
-    a, b = (blocked.select(F.col("label"), F.col("qualifier"), F.col("code"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "name", "texts"))) for x in "ab")
-    near = a.join(b, ["label", "qualifier", "code"]).filter("node_a < node_b AND abs(length(replace(name_a, ' ')) - length(replace(name_b, ' '))) <= 2").select("node_a", "node_b", "name_a", "name_b").distinct()
-    edges = near.filter(_same_parts("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    # given names that aren't learned are no keys: their blocks are of all parts of the name
-    unlearned = whole.select("node", "label", F.concat_ws(" ", "qualifier", "name").alias("name"), F.explode("loose").alias("code"))
-    a, b = (unlearned.select("label", "code", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "name"))) for x in "ab")
-    near = a.join(b, ["label", "code"]).filter("node_a < node_b").select("node_a", "node_b", "name_a", "name_b").distinct()
-    edges = edges.unionByName(near.filter(_same_person("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))).distinct()
+    # two names within two edits, their parts in any order, have letters within four
+    letters = F.array_join(F.array_sort(F.split(F.replace("name", F.lit(" ")), "")), "")
+    strict = _near(whole.select("node", "name", letters.alias("letters"), F.explode("codes").alias("code"), F.xxhash64("label", "qualifier", "code").alias("key")).drop("code"), 4)
+    edges = strict.filter(_same_parts("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    # given names that aren't learned are no keys: their blocks are of all parts of the name, each of which may be two edits away
+    whole_name = F.concat_ws(" ", "qualifier", "name")
+    letters = F.array_join(F.array_sort(F.split(F.replace(whole_name, F.lit(" ")), "")), "")
+    loose = _near(whole.select("node", whole_name.alias("name"), letters.alias("letters"), F.explode("loose").alias("code"), F.xxhash64("label", "code").alias("key")).drop("code"), None)
+    edges = edges.unionByName(loose.filter(_same_person("name_a", "name_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))).distinct()
     entity = cut(whole.join(connected_components(edges), "node", "left").withColumn("entity", F.coalesce("component", "node")).drop("component"))
     # initials and cut-off given names: the one entity that fits
     short = parsed.filter("short").groupBy("label", "qualifier", "name").agg(F.first("codes").alias("codes"))
@@ -420,6 +455,8 @@ def clusters(mentions: DataFrame) -> DataFrame:
 def found(mentions: DataFrame) -> DataFrame:
     """(text_a, text_b): all pairs of spellings of one entity."""
     members = cut(clusters(mentions))
-    a = members.select("label", "entity", F.col("text").alias("text_a"))
-    b = members.select("label", "entity", F.col("text").alias("text_b"))
-    return a.join(b, ["label", "entity"]).filter("text_a < text_b").select("text_a", "text_b").distinct()
+    keyed = members.select(F.xxhash64("label", "entity").alias("key"), F.struct("label", "entity").alias("of"), "text")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    a, b = (keyed.select("key", F.col("of").alias(f"of_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    pairs = hot_join(a, b.join(sizes, "key"), "key", "_rows", F.col("text_a"), hot_rows=HOT_NAMES)
+    return pairs.filter("of_a = of_b AND text_a < text_b").select("text_a", "text_b").distinct()

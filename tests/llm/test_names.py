@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from graphloom.llm import names as N
@@ -26,9 +28,54 @@ def test_similarity():
     assert N.same_name("didpakellir", "didpakelir") and not N.same_name("didpakellir", "didpasomlir")
 
 
+def _edited(rng, w):
+    """The word with a letter lost, added, changed or swapped with the next."""
+    i, c = rng.randrange(len(w) - 1), rng.choice("abcdefghijklmnopqrstuvwxyz")
+    return rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+
+def _word(rng, syllables):
+    return "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") + rng.choice(["", "", "l", "n", "r", "s"]) for _ in range(syllables))
+
+
 def test_a_typo_leaves_a_block_in_common():
-    for a, b in (("bugdurektet", "budgurektet"), ("lokjuvimmen", "lokjuvimmmen"), ("kwawatrit", "zokwawatrit")):
-        assert N.edits(a, b, 2) > 2 or set(N.codes(a)) & set(N.codes(b)) or len(b) - len(a) > 1
+    rng = random.Random(1)
+    for _ in range(2_000):
+        a = _word(rng, rng.randint(2, 4))
+        b = _edited(rng, a)
+        assert set(N.codes(a)) & set(N.codes(b)), (a, b)
+
+
+def test_known_words_near_a_token():
+    rng = random.Random(2)
+    known = sorted({_word(rng, 3) for _ in range(300)})
+    v = N.Vocabulary({"Person": known}, {})
+    for w in known[:60]:
+        for most, token in ((1, _edited(rng, w)), (2, _edited(rng, _edited(rng, w)))):
+            assert {x for x in known if N.edits(token, x, most) <= most} <= v.near(token, "Person", most)
+
+
+def test_rare_given_names(spark):
+    """People with mostly unlike given names: typos of the given name, and turned names without a comma."""
+    rng = random.Random(3)
+    people = sorted({(_word(rng, 3).capitalize(), _word(rng, 4).capitalize()) for _ in range(3_000)})
+    rng.shuffle(people)
+    swapped = lambda w: w[:2] + w[3] + w[2] + w[4:]
+    typos = [(f"{g} {n}", f"{swapped(g)} {n}") for g, n in people[:300] if g[2] != g[3]]
+    turned = [(f"{g} {n}", f"{n} {g}") for g, n in people[300:600]]
+    rows = [(f"{g} {n}",) for g, n in people] + [(b,) for _, b in typos + turned]
+    got = {tuple(r) for r in N.found(spark.createDataFrame(rows, "text string").selectExpr("text", "'Person' as label")).collect()}
+    for want in ({tuple(sorted(p)) for p in typos}, {tuple(sorted(p)) for p in turned}):
+        assert len(got & want) >= 0.9 * len(want)
+    assert len(got) <= 1.02 * (len(typos) + len(turned))
+
+
+def test_hot_blocks_and_entities_give_the_same(spark, monkeypatch):
+    rows = [(f"{t}Timothy {n}{e}", "Person") for t in ("", "Dr. ", "(", "[[") for n in ("Bugdurek", "Bugdureek", "Budgurek", "Lirwejad", "Lirwejjad") for e in ("", " ", ";", " esq.")]
+    df = spark.createDataFrame(rows, "text string, label string")
+    want = {tuple(r) for r in N.found(df).collect()}
+    monkeypatch.setattr(N, "HOT_NAMES", 2)
+    assert {tuple(r) for r in N.found(df).collect()} == want and len(want) > 500
 
 
 def test_found(spark):
