@@ -2,12 +2,15 @@
 
 Each record becomes a name (marks, case, order, articles and bracketed notes don't count; a trailing
 number is kept apart), a kind, makers, years, platforms and regions; what a column lacks is read from the
-description where it says it. The character pairs of a name set bits of a fixed vector of 256 bits. Close
-vectors are found exactly by multi-index hashing: cut into 16 chunks, two vectors at a distance of at
-most 47 have a chunk at a distance of at most 2, so that a value within one bit of either is shared; the
-17 values around each chunk meet in an equality join within kind and number, and the distance decides. Heavily
-misspelled names get a second chance by the same search over the makers' names, within kind, number and year.
-Pairs get a Dice score for each field; a logistic weighting of the fields, fitted to the pairs that are already
+description where it says it. The q-grams of a name's words, unordered pairs of letters next to each other or with one between, set one
+bit each of a fixed vector of 256 bits: two letters swapped change four of them, a letter lost, added or changed seven or eight.
+Close vectors are found exactly by multi-index hashing within kind and number. A vector is cut into four chunks of 64 bits; of two vectors
+at a distance of at most ``RADIUS`` = 14 one chunk is at a distance of at most 3 (or 2, the last), because 4 + 4 + 4 + 3
+is 15. Two chunks at a distance of d are the same when the bits that only one of them has are left out, d in all; so the keys of a
+chunk are what remains of it without up to 3 or 2 of its bits, which are some 350 for a name, and two chunks meet at exactly one key,
+that of all the bits they share. Names with few bits would all be near each other: from 8 to 15 bits the distance is at most
+``SHORT_RADIUS`` = 5, found by halves without up to 2 bits, and below 8 only the same vector will do. Pairs that met get their distance
+from the vectors. Pairs then get a Dice score for each field; a logistic weighting of the fields, fitted to the pairs that are already
 aligned, turns them into calibrated confidences. The best item of each entity is accepted from 0.5.
 
 The fit takes at most ``FIT_ROWS`` labelled candidate pairs, chosen by hash; everything else covers all
@@ -31,13 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.names import LEGAL, NICKNAMES, fold
+from graphloom.plans.skew import hot_join
 from graphloom.sources.tables import cut
 
 BASE = "http://lanternkb.example/kb/"
 KINDS = ("VideoGame", "Character", "Location", "Item", "Organization")
-BITS, CHUNKS, HASHES, REACH = 256, 16, 8, 2
-#: The greatest distance that the search finds without exception.
-RADIUS = CHUNKS * (REACH + 1) - 1
+BITS = 256
+#: Bits left out of each chunk, of names with many bits and with few; the greatest distance that is found is one less than the sum of what each chunk bridges.
+LEFT_OUT, SHORT_LEFT_OUT = (3, 3, 3, 2), (2, 2)
+RADIUS, SHORT_RADIUS = (sum(a + 1 for a in x) - 1 for x in (LEFT_OUT, SHORT_LEFT_OUT))
+#: Bits from which a name is a long one, and below which only the same vector will do.
+LONG, LEAST_BITS = 16, 8
 FIT_ROWS = 40_000
 ACCEPT = 0.5
 #: Articles and the like, and short forms of titles: fixed values.
@@ -73,13 +80,27 @@ def dice(a: frozenset[str], b: frozenset[str]) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
+def skip_grams(words: str) -> frozenset[str]:
+    """Unordered pairs of letters of a word, next to each other or with one between."""
+    out = set()
+    for w in words.split():
+        p = f"^{w}$"
+        for d in (1, 2):
+            out |= {x + y if x < y else y + x for x, y in zip(p, p[d:], strict=False)}
+    return frozenset(out)
+
+
+def _bit(gram: str) -> int:
+    h = zlib.crc32(gram.encode())
+    for _ in range(2):
+        h = ((h ^ (h >> 16)) * 0x45D9F3B) & 0xFFFFFFFF
+    return (h ^ (h >> 16)) % BITS
+
+
 def vector(words: str) -> list[int]:
     """The bit vector of a name, as four signed 64-bit numbers."""
     bits = np.zeros(BITS, dtype=np.uint8)
-    for g in grams(words):
-        h = zlib.crc32(g.encode())
-        step = zlib.crc32(g.encode(), 0x9E3779B9) | 1
-        bits[[(h + i * step) % BITS for i in range(HASHES)]] = 1
+    bits[[_bit(g) for g in skip_grams(words)]] = 1
     return np.packbits(bits).view(">i8").astype(np.int64).tolist()
 
 
@@ -168,28 +189,51 @@ def _vectors(names: DataFrame) -> DataFrame:
     return names.filter("name <> ''").distinct().mapInPandas(_encode, "part string, name string, v0 long, v1 long, v2 long, v3 long")
 
 
-def _around(vectors: DataFrame) -> DataFrame:
-    """A row for each chunk and each value within a bit of it."""
-    chunk = lambda i: F.shiftrightunsigned(F.col(f"v{i // 4}"), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    chunks = F.array(*(F.struct(F.lit(i).alias("i"), chunk(i).alias("x")) for i in range(CHUNKS)))
-    masks = F.array(*(F.lit(m).cast("long") for m in (0, *(1 << b for b in range(16)))))
-    return vectors.withColumn("_c", F.explode(chunks)).withColumn("_m", F.explode(masks)).withColumn("key", F.xxhash64("part", "_c.i", F.col("_c.x").bitwiseXOR(F.col("_m")))).drop("_c", "_m")
+def _left_out(v: str, most: int) -> str:
+    """SQL: an array of masks, each of up to ``most`` of the bits of v."""
+    bits = f"filter(sequence(0, 63), b -> getbit({v}, b) = 1)"
+    one = "transform(bits, b -> shiftleft(1L, b))"
+    two = "flatten(transform(bits, b -> transform(filter(bits, c -> c > b), c -> shiftleft(1L, b) | shiftleft(1L, c))))"
+    three = "flatten(transform(bits, b -> flatten(transform(filter(bits, c -> c > b), c -> transform(filter(bits, d -> d > c), d -> shiftleft(1L, b) | shiftleft(1L, c) | shiftleft(1L, d))))))"
+    parts = ", ".join(["array(0L)", one, two, three][: most + 1])
+    return f"element_at(transform(array({bits}), bits -> concat({parts})), 1)"
+
+
+def keys(vectors: DataFrame) -> DataFrame:
+    """(key, id, gone, most, fold): the keys of each vector (id, part, v0 to v3, bits), with the bits left out, how many two
+    vectors may leave out together, and the vector folded to 64 bits, in which two are no further apart than they are."""
+    key = "xxhash64(part, family, i, v & ~gone)"
+    long = ", ".join(f"struct(1 AS family, {i} AS i, v{i} AS v, {a} AS most, {_left_out(f'v{i}', a)} AS masks)" for i, a in enumerate(LEFT_OUT))
+    halves = [("v0 | v1", 0), ("v2 | v3", 1)]
+    short = ", ".join(f"struct(2 AS family, {i} AS i, {v} AS v, {SHORT_LEFT_OUT[i]} AS most, {_left_out(f'({v})', SHORT_LEFT_OUT[i])} AS masks)" for v, i in halves)
+    tiny = "struct(3 AS family, 0 AS i, xxhash64(v0, v1, v2, v3) AS v, 0 AS most, array(0L) AS masks)"
+    chunks = vectors.selectExpr(
+        "part", "id", "v0 ^ v1 ^ v2 ^ v3 AS fold", f"explode(concat(if(bits >= {LONG}, array({long}), array()), if(bits BETWEEN {LEAST_BITS} AND {LONG - 1 + SHORT_RADIUS}, array({short}), array()), if(bits < {LEAST_BITS}, array({tiny}), array()))) AS c"
+    )
+    return chunks.selectExpr("part", "id", "fold", "c.family AS family", "c.i AS i", "c.v AS v", "c.most AS most", "explode(c.masks) AS gone").selectExpr(f"{key} AS key", "id", "gone", "cast(most AS byte) AS most", "fold")
+
+
+def met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b): pairs of vectors with a chunk that differs in few enough bits, once for each such chunk, and folds that are near too."""
+    x, y = (keys(v).select("key", F.col("id").alias(f"id_{s}"), F.col("gone").alias(f"gone_{s}"), F.col("most").alias(f"most_{s}"), F.col("fold").alias(f"fold_{s}")) for v, s in ((a, "a"), (b, "b")))
+    rows = x.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
+    few = f"gone_a & gone_b = 0 AND bit_count(gone_a) + bit_count(gone_b) <= most_a AND bit_count(fold_a ^ fold_b) <= {RADIUS}"
+    return hot_join(x, y.join(rows.hint("merge"), "key").hint("merge"), "key", "_rows", F.col("id_a")).filter(few).select("id_a", "id_b")
 
 
-def near_names(a: DataFrame, b: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(part, name_a, name_b): all pairs of names (columns part, name) whose vectors differ in at most ``radius`` bits."""
-    if radius > RADIUS:
-        raise ValueError(f"the search is exact up to {RADIUS} bits")
-    va, vb = (_vectors(df).withColumn("id", F.xxhash64("part", "name")) for df in (a, b))
-    # an explode of 272 rows needs partitions for its output, not for its small input
+def near_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(part, name_a, name_b): all pairs of names (columns part, name) whose vectors differ in at most ``RADIUS`` bits, ``SHORT_RADIUS`` if one is short."""
+    # a row becomes some 200 keys, so partitions are needed for the output, not for the small input
     parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.sparkSession.sparkContext.defaultParallelism)
-    x, y = (_around(v.repartition(parts, "id")).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "v0", "v1", "v2", "v3"))) for v, s in ((va, "a"), (vb, "b")))
+    bits = sum((F.bit_count(f"v{i}") for i in range(1, 4)), F.bit_count("v0"))
+    va, vb = (cut(_vectors(df).withColumns({"id": F.xxhash64("part", "name"), "bits": bits}).repartition(parts, "id")) for df in (a, b))
+    close = met(va, vb).distinct()
+    side = lambda v, s: v.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "part", "name", "bits", "v0", "v1", "v2", "v3")))
+    named = close.join(side(va, "a"), "id_a").join(side(vb, "b"), "id_b").filter("part_a = part_b")
     apart = sum((F.bit_count(F.col(f"v{i}_a").bitwiseXOR(F.col(f"v{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("v0_a").bitwiseXOR(F.col("v0_b"))))
-    # each vector has 272 keys, which the planner's estimate of an explode doesn't know of: without the hint it would broadcast a side
-    close = x.join(y.hint("merge"), "key").filter(apart <= radius).select("id_a", "id_b").distinct()
-    name = lambda v, s: v.select(F.col("id").alias(f"id_{s}"), F.col("part").alias(f"part_{s}"), F.col("name").alias(f"name_{s}"))
-    named = close.join(name(va, "a"), "id_a").join(name(vb, "b"), "id_b")
-    return named.filter(F.col("part_a") == F.col("part_b")).select(F.col("part_a").alias("part"), "name_a", "name_b").distinct()
+    least = F.least("bits_a", "bits_b")
+    radius = F.when(least >= LONG, RADIUS).when(least >= LEAST_BITS, SHORT_RADIUS).otherwise(0)
+    return named.filter(apart <= radius).select(F.col("part_a").alias("part"), "name_a", "name_b").distinct()
 
 
 FEATURES = ("name", "word", "maker", "maker_differs", "year", "year_differs", "platform", "platform_differs", "region", "region_differs")
@@ -248,18 +292,10 @@ def _confidence(weights: tuple[float, ...]) -> Column:
 def scored(mapping: DataFrame, kb: DataFrame, items: DataFrame) -> DataFrame:
     """(private_entity, wikidata_uri, confidence) of every candidate pair of entities that aren't aligned yet."""
     own, other = cut(own_records(mapping, kb)), cut(other_records(items))
-    flat = lambda df, names: df.select(F.concat_ws("|", F.col("kind"), F.col("number"), *names[1:]).alias("part"), F.col(names[0]).alias("name"))
-    a, b = (df.withColumn("kind", F.explode("kinds")) for df in (own, other))
-    by_name = near_names(*(flat(df.withColumn("n", F.explode("names")), ["n"]) for df in (a, b)))
-    pairs_of = lambda near, left, right: near.join(left, ["part", "name_a"]).join(right, ["part", "name_b"]).select("id", "id_b").distinct()
-    ids = lambda df, n, extra=(): df.select("id", F.concat_ws("|", "kind", "number", *extra).alias("part"), F.col("n").alias(n)).distinct()
-    an, bn = a.withColumn("n", F.explode("names")), b.withColumn("n", F.explode("names"))
-    first = pairs_of(by_name, ids(an, "name_a"), ids(bn, "name_b").withColumnRenamed("id", "id_b"))
-    am = a.withColumn("n", F.explode("makers")).withColumn("y", F.explode("years"))
-    bm = b.withColumn("n", F.explode("makers")).withColumn("y0", F.explode("years")).withColumn("y", F.explode(F.array(F.col("y0") - 1, F.col("y0"), F.col("y0") + 1)))
-    by_maker = near_names(*(flat(df, ["n", "y"]) for df in (am, bm)))
-    second = pairs_of(by_maker, ids(am, "name_a", ("y",)), ids(bm, "name_b", ("y",)).withColumnRenamed("id", "id_b"))
-    pairs = first.unionByName(second).distinct()
+    named = lambda df: df.withColumn("kind", F.explode("kinds")).select("id", F.concat_ws("|", "kind", "number").alias("part"), F.explode("names").alias("name"))
+    a, b = named(own), named(other).withColumnRenamed("id", "id_b")
+    near = near_names(*(df.select("part", "name") for df in (a, b)))
+    pairs = near.join(a.withColumnRenamed("name", "name_a"), ["part", "name_a"]).join(b.withColumnRenamed("name", "name_b"), ["part", "name_b"]).select("id", "id_b").distinct()
     merged = lambda df: df.groupBy("id").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("names", "makers", "years", "platforms", "regions")))
     right = merged(other)
     right = right.select(*(F.col(c).alias(f"{c}_b") for c in right.columns))

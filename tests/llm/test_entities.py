@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import entities as M
 
 
@@ -17,19 +19,55 @@ def apart(a, b):
     return sum(int(v).bit_count() for v in x ^ y)
 
 
-def test_search_is_exact(spark):
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
-    a = [word() for _ in range(60)]
+def limit(a, b):
+    least = min(sum(int(v).bit_count() for v in np.array(M.vector(s), dtype=np.int64).view(np.uint64)) for s in (a, b))
+    return M.RADIUS if least >= M.LONG else M.SHORT_RADIUS if least >= M.LEAST_BITS else 0
+
+
+def _names(rng, n):
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.choice([1, 2, 2, 3, 5, 5, 6])))
+    a = sorted({" ".join(word() for _ in range(rng.choice([1, 1, 2]))) for _ in range(n)})
     b = []
     for w in a:
         c = list(w)
-        for _ in range(rng.randint(0, 2)):
-            c[rng.randrange(len(c))] = rng.choice("aeioubdf")
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(c) - 1)
+            c[i : i + 2] = rng.choice([[c[i + 1], c[i]], [rng.choice("aeioubdf"), c[i + 1]], [c[i]], [c[i], "o", c[i + 1]]])
+            c = c if len(c) > 1 else [*c, "b"]
         b.append("".join(c))
-    table = lambda ws: spark.createDataFrame([("k", w) for w in sorted(set(ws))], "part string, name string")
-    got = {(r["name_a"], r["name_b"]) for r in M.near_names(table(a), table(b)).collect()}
-    assert got == {(x, y) for x in set(a) for y in set(b) if apart(x, y) <= M.RADIUS}
+    return a, sorted(set(b))
+
+
+def test_search_is_exact(spark):
+    """Against brute force, with short names, many typos and swaps."""
+    a, b = _names(random.Random(4), 300)
+    table = lambda ws: spark.createDataFrame([("k", w) for w in [*ws, *ws[:5]]], "part string, name string")
+    got = [(r["name_a"], r["name_b"]) for r in M.near_names(table(a), table(b)).collect()]
+    want = {(x, y) for x in a for y in b if apart(x, y) <= limit(x, y)}
+    assert set(got) == want and len(got) == len(want) > 200
+
+
+def test_parts_are_apart_and_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr("graphloom.plans.skew.HOT_ROWS", 3)
+    a, b = _names(random.Random(5), 40)
+    table = lambda p, ws: spark.createDataFrame([(p, w) for w in ws], "part string, name string")
+    got = {(r["part"], r["name_a"], r["name_b"]) for r in M.near_names(table("k", a).union(table("l", b)), table("k", b).union(table("m", a))).collect()}
+    assert got == {("k", x, y) for x in a for y in b if apart(x, y) <= limit(x, y)}
+
+
+def test_index_prunes(spark):
+    """Rows that meet at a key, against the pairs that are near, at two scales."""
+    ratios = []
+    for n in (500, 2_000):
+        rng = random.Random(6)
+        word = lambda rng=rng: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(4))
+        a = sorted({f"{word()} {rng.choice(['quest', 'tactics', 'racers', 'story'])}" for _ in range(n)})
+        b = [w[:3] + w[4] + w[3] + w[5:] for w in a]
+        table = lambda ws: spark.createDataFrame([("k", w) for w in ws], "part string, name string")
+        bits = sum((F.bit_count(f"v{i}") for i in range(1, 4)), F.bit_count("v0"))
+        va, vb = (M._vectors(table(x)).withColumns({"id": F.xxhash64("name"), "bits": bits}) for x in (a, b))
+        ratios.append(M.met(va, vb).count() / M.near_names(table(a), table(b)).count())
+    assert max(ratios) < 20
 
 
 def test_fit_is_calibrated():
