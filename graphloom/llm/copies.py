@@ -1,10 +1,11 @@
 """Problem 5: duplicates hidden by formatting differences.
 
-Progressive refinement of partitions. Rows first fall into classes by what is cheapest to know (type,
-label, number of letters and digits of text and address), then, only inside classes with several
-members, by the histogram of their letters, and only inside what is left by the full normal form.
-Each step counts its classes with a partial aggregate of (hash, count) pairs and keeps the rows of
-classes with several members by a join that splits hot classes, so no class is gathered in one task.
+Progressive refinement of partitions. Rows first fall into classes by what is cheapest to know: type, label and how often text
+and address have each of a few letters, case aside (``LETTERS``: a replace and a length each, without regular expressions or arrays).
+Only inside classes with several members come the stripped lengths and whole histograms of letters, and only inside what
+is left the full normal form, with the parameters sorted. Each step counts its classes with a partial aggregate of
+(hash, count) pairs and keeps the rows of classes with several members by a join that splits hot classes, so no class is gathered in
+one task. What a dear step works on is written to the checkpoint folder first, so that nothing dear is computed twice.
 
 Defined cases: a null text or address, or a text without letter or digit: no copies. Null type or
 label equals null only. An empty address is a value like any other. Repeated ``mention_id`` values
@@ -17,7 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.skew import HOT_ROWS, hot_join
+from graphloom.sources.tables import cut
 
+#: Letters that are counted first; any choice is right, letters that vary much keep more rows apart.
+LETTERS = "aeioulnrst"
 _NOT_ALNUM = r"[^\p{L}\p{N}]+"
 
 
@@ -40,8 +44,15 @@ def address_key(url: Column) -> Column:
     return F.concat(folded(path), F.lit("?"), F.array_join(params, "&"), F.lit("#"), folded(fragment))
 
 
+def _counts(c: Column) -> list[Column]:
+    """How often each of LETTERS is there, case aside."""
+    s = F.lower(F.upper(c))
+    return [F.length(s) - F.length(F.replace(s, F.lit(x))) for x in LETTERS]
+
+
 def _histogram(c: Column) -> Column:
-    return F.xxhash64(F.array_join(F.array_sort(F.split(c, "")), ""))
+    """The stripped length and how often each letter is there, of a folded text."""
+    return F.xxhash64(F.length(c), F.array_join(F.array_sort(F.split(c, "")), ""))
 
 
 def _several(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
@@ -55,13 +66,13 @@ def copy_classes(mentions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     rows = (
         mentions.select(F.col("mention_id"), known("type").alias("_t"), known("label").alias("_l"), F.col("text").alias("_x"), F.col("source_url").alias("_u"))
-        .filter(F.col("mention_id").isNotNull() & F.col("_x").isNotNull() & F.col("_u").isNotNull() & F.col("_x").rlike(r"[\p{L}\p{N}]"))
-        .withColumn("_k1", F.xxhash64("_t", "_l", F.length(F.regexp_replace("_x", _NOT_ALNUM, "")), F.length(F.regexp_replace("_u", _NOT_ALNUM, ""))))
+        .filter(F.col("mention_id").isNotNull() & F.col("_x").isNotNull() & F.col("_u").isNotNull())
+        .withColumn("_k1", F.xxhash64("_t", "_l", *_counts(F.col("_x")), *_counts(F.col("_u"))))
     )
-    rows = _several(rows, "_k1", hot_rows)
-    rows = rows.withColumn("_k2", F.xxhash64("_k1", _histogram(folded(F.col("_x"))), _histogram(folded(F.col("_u"))))).drop("_k1")
+    rows = _several(rows, "_k1", hot_rows).filter(F.col("_x").rlike(r"[\p{L}\p{N}]"))
+    rows = cut(rows.withColumn("_k2", F.xxhash64("_k1", _histogram(folded(F.col("_x"))), _histogram(folded(F.col("_u"))))).drop("_k1"))
     rows = _several(rows, "_k2", hot_rows)
-    rows = rows.select("mention_id", F.concat_ws("\u0001", "_t", "_l", text_key(F.col("_x")), address_key(F.col("_u"))).alias("_k3"))
+    rows = cut(rows.select("mention_id", F.concat_ws("\u0001", "_t", "_l", text_key(F.col("_x")), address_key(F.col("_u"))).alias("_k3")))
     groups = rows.groupBy("_k3").agg(F.min("mention_id").alias("first_id"), F.max("mention_id").alias("_last"), F.count(F.lit(1)).alias("copies")).filter("_last > first_id")
     return hot_join(rows, groups.drop("_last"), "_k3", "copies", F.col("mention_id"), "inner", hot_rows).select("mention_id", "first_id", "copies")
 
