@@ -3,10 +3,12 @@
 Pigeonhole join. Labels are reduced to distinct ones, then to a few readings each (without a bracketed
 note, before or behind a comma, in turned order, without a framing phrase), spelled in full and without
 anything but letters and digits. A canonical name for which k edits are allowed is cut into k + 1
-segments; a reading within k edits holds at least one segment unchanged, at most k places away. So
-readings and names meet in an equality join on substrings, positions and lengths are checked, and the
-built-in ``levenshtein`` decides. The nearest entry wins, of several as near the one with the
-longest name; what ties even so is left unmapped. An anti-join reports what no entry is near to.
+segments; a reading within k edits holds at least one segment i unchanged with at most i edits before it and k - i behind it.
+So the segment stands at most i places away, and with a difference of lengths d at most k - i from d places away; for each d
+and each of these places there is a row of (segment, numbers, place, length), which readings meet in an equality join on all four,
+and the built-in ``levenshtein`` decides. Nothing but the join of equal keys makes pairs. The nearest entry wins, of several as near the one with the
+longest name; what ties even so is left unmapped. An anti-join reports what no entry is near to. Labels that many rows share are
+dealt to several tasks.
 
 Numbers are part of a name ("Orbel 8", "Orbel 16") and have to agree. Readings longer than the longest
 name plus its edits can't match, so they are dropped before substrings are made.
@@ -19,9 +21,8 @@ only as they are; several entries with the same name are a tie; repeated rows ke
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from graphloom.plans.skew import hot_join
+from graphloom.plans.skew import HOT_ROWS
 
 #: Letters with marks and their base letters: fixed values.
 MARKED = "áàâäãåāăąéèêëēėęěíìîïīįıóòôöõøōőúùûüūůűųýÿçćčñńňšśşžźżğłđťřďľĺŕ"
@@ -105,8 +106,8 @@ def _numbers(x: str, duck: bool) -> str:
 def mapped(mapping: DataFrame, canonical: DataFrame) -> DataFrame:
     """(mapping_id, wikidata_qid) of each ``typed_value`` row; ``NONE`` where no entry is near."""
     sql = mapping.sparkSession.sql
-    typed = mapping.filter("status = 'typed_value' and mapping_id is not null").select(F.col("mapping_id"), F.col("label"))
-    labels = typed.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("_rows"))
+    typed = sql("SELECT mapping_id, label FROM {m} WHERE status = 'typed_value' AND mapping_id IS NOT NULL", m=mapping)
+    labels = sql("SELECT label, count(*) AS rows FROM {t} WHERE label IS NOT NULL GROUP BY label", t=typed)
     names = sql(
         f"""WITH n AS (
               SELECT wikidata_qid AS qid, explode(array_append(coalesce(split(also_known_as, '[|]'), array()), wikidata_label)) AS name FROM {{c}}
@@ -117,8 +118,11 @@ def mapped(mapping: DataFrame, canonical: DataFrame) -> DataFrame:
         c=canonical,
     )
     segments = sql(
-        """SELECT qid, name, len, k, kk, num, i * len DIV (kk + 1) AS at, substring(name, i * len DIV (kk + 1) + 1, (i + 1) * len DIV (kk + 1) - i * len DIV (kk + 1)) AS seg
-           FROM (SELECT *, explode(sequence(0, kk)) AS i FROM {n})""",
+        """WITH s AS (SELECT *, i * len DIV (kk + 1) AS at, substring(name, i * len DIV (kk + 1) + 1, (i + 1) * len DIV (kk + 1) - i * len DIV (kk + 1)) AS seg
+                    FROM (SELECT *, explode(sequence(0, kk)) AS i FROM {n})),
+             d AS (SELECT *, explode(sequence(-kk, kk)) AS d FROM s),
+             p AS (SELECT *, greatest(-i, d - (kk - i)) AS first, least(i, d + (kk - i)) AS last FROM d)
+           SELECT qid, name, k, kk, len, num, seg, len + d AS other, explode(sequence(at + first, at + last)) AS at FROM p WHERE first <= last""",
         n=names,
     )
     readings = sql(
@@ -131,11 +135,10 @@ def mapped(mapping: DataFrame, canonical: DataFrame) -> DataFrame:
         f"""WITH d AS (SELECT DISTINCT r, len, num FROM {{r}}),
              s AS (SELECT DISTINCT length(seg) AS w FROM {{s}}),
              w AS (SELECT collect_set(w) AS ws FROM s),
-             m AS (SELECT max(len + kk) AS longest FROM {{s}}),
+             m AS (SELECT max(other) AS longest FROM {{s}}),
              x AS (SELECT r, len, num, explode((SELECT ws FROM w)) AS w FROM d WHERE len <= (SELECT longest FROM m)),
              y AS (SELECT r, len, num, at, substring(r, at + 1, w) AS seg FROM (SELECT *, explode(sequence(0, len - w)) AS at FROM x WHERE w <= len)),
-             p AS (SELECT DISTINCT y.r, s.qid, s.name, s.k, s.kk FROM y JOIN {{s}} s ON y.seg = s.seg AND y.num = s.num
-                   AND abs(y.at - s.at) <= s.kk AND abs(y.len - s.len) <= s.kk),
+             p AS (SELECT DISTINCT y.r, s.qid, s.name, s.k, s.kk FROM y JOIN {{s}} s ON y.seg = s.seg AND y.num = s.num AND y.at = s.at AND y.len = s.other),
              v AS (SELECT r, qid, name, k, levenshtein(r, name, kk) AS dist FROM p)
            SELECT r, qid, min(struct(dist, -length(name) AS len)) AS near FROM v
            WHERE dist >= 0 AND (dist <= k OR levenshtein({_sorted("r", False)}, {_sorted("name", False)}, 1) >= 0) GROUP BY r, qid""",
@@ -149,10 +152,24 @@ def mapped(mapping: DataFrame, canonical: DataFrame) -> DataFrame:
         r=readings,
         f=found,
     )
-    known = labels.join(best, "label")
-    hit = hot_join(typed, known, "label", "_rows", F.col("mapping_id")).select("mapping_id", F.col("qid").alias("wikidata_qid"))
-    missed = sql("SELECT t.mapping_id, 'NONE' AS wikidata_qid FROM {t} t LEFT ANTI JOIN {h} h ON t.mapping_id = h.mapping_id", t=typed, h=hit)
-    return hit.unionByName(missed).distinct()
+    # labels from HOT_ROWS rows on: one copy of the answer for each HOT_ROWS rows; the list of them has at most rows / HOT_ROWS entries
+    hit = sql(
+        f"""WITH known AS (SELECT b.label, b.qid, cast(ceil(l.rows / {HOT_ROWS}) AS int) AS copies FROM {{l}} l JOIN {{b}} b ON l.label = b.label),
+             many AS (SELECT label, copies FROM known WHERE copies > 1),
+             dealt AS (SELECT /*+ BROADCAST(h) */ t.mapping_id, t.label, CASE WHEN h.copies IS NULL THEN 0 ELSE cast(pmod(xxhash64(t.mapping_id), h.copies) AS int) END AS salt
+                       FROM {{t}} t LEFT JOIN many h ON t.label = h.label),
+             answers AS (SELECT label, qid, explode(sequence(0, copies - 1)) AS salt FROM known)
+           SELECT d.mapping_id, a.qid AS wikidata_qid FROM dealt d JOIN answers a ON d.label = a.label AND d.salt = a.salt""",
+        l=labels,
+        b=best,
+        t=typed,
+    )
+    return sql(
+        """SELECT DISTINCT mapping_id, wikidata_qid FROM {h}
+           UNION ALL SELECT DISTINCT t.mapping_id, 'NONE' FROM {t} t LEFT ANTI JOIN {h} h ON t.mapping_id = h.mapping_id""",
+        t=typed,
+        h=hit,
+    )
 
 
 FOUND_SQL = f"""
