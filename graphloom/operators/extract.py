@@ -23,9 +23,8 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: strip(x) != "")
 
 
-def pattern_mentions(docs: DataFrame, id_col: str, text_col: str, patterns: list[tuple[str, str]] | None = None, case: bool = False) -> DataFrame:
+def pattern_mentions(docs: DataFrame, id_col: str, text_col: str, patterns: list[tuple[str, str]], case: bool = False) -> DataFrame:
     """(id, ord, text, type, label, confidence, method): every match of every pattern, in the order of patterns, then of the text."""
-    patterns = fixed.DOMAIN_PATTERNS if patterns is None else patterns
     table = F.array(*(F.struct(F.lit(i).alias("k"), F.lit(t).alias("type"), F.regexp_extract_all(F.col(text_col), F.lit(p if case else f"(?i){p}"), F.lit(0)).alias("found")) for i, (p, t) in enumerate(patterns)))
     hits = docs.select(id_col, F.explode(table).alias("_p")).filter(F.size("_p.found") > 0).select(id_col, "_p.k", "_p.type", F.posexplode("_p.found").alias("i", "raw"))
     labels = F.create_map(*(F.lit(x) for kv in fixed.TYPE_LABELS.items() for x in kv))
@@ -96,11 +95,12 @@ def cooccurrence(found: DataFrame, relations: DataFrame, id_col: str, most: int
 
 def first_relations(relations: DataFrame, id_col: str) -> DataFrame:
     """The first relation of each (subject, predicate, object) without case."""
-    w = Window.partitionBy(F.lower("subject"), "predicate", F.lower("object")).orderBy(id_col, "sent", "ord")
-    return relations.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    first = F.struct(id_col, "sent", "ord")
+    keys = [F.lower("subject").alias("_s"), F.col("predicate").alias("_p"), F.lower("object").alias("_o")]
+    return relations.groupBy(*keys).agg(F.min_by(F.struct(*relations.columns), first).alias("r")).select("r.*")
 
 
-def process(docs: DataFrame, id_col: str, text_col: str, patterns: list[tuple[str, str]] | None = None, case: bool = False) -> tuple[DataFrame, DataFrame]:
+def process(docs: DataFrame, id_col: str, text_col: str, patterns: list[tuple[str, str]], case: bool = False) -> tuple[DataFrame, DataFrame]:
     """(mentions, relations) of documents."""
     mentions = merged(pattern_mentions(docs, id_col, text_col, patterns, case), tagged_mentions(docs, id_col, text_col), id_col)
     found = sentence_mentions(docs, mentions, id_col, text_col)

@@ -44,7 +44,7 @@ def prompt(subject: str = "this wiki") -> Column:
 
 
 def raw_answer() -> Column:
-    """The answer without a model: what was retrieved."""
+    """The answer without a model: what was retrieved. Its headings are fixed values that results have to equal."""
     return F.concat(F.lit("[No LLM — showing raw retrieval]\n\n--- KG Facts ---\n"), F.col("facts"), F.lit("\n\n--- KGE-Related ---\n"), F.col("related"), F.lit("\n\n--- Text ---\n"), F.col("texts"))
 
 

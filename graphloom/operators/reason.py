@@ -2,7 +2,8 @@
 
 The schema is small and collected (its triples are checked to be at most ``MAX_SCHEMA``); its transitive closures are made
 on the driver and broadcast as literal tables. The data stay distributed: a semi-naive loop applies every rule to the
-triples that the last round added, keeps what is new by an anti-join, and ends when nothing is. Rounds are checkpoints.
+triples that the last round added, keeps what is new by an anti-join on a hash, and ends when nothing is. Each round writes only
+what it added to the checkpoint folder; the graph is the union of these parts and is never written again.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def materialise(triples: DataFrame, max_rounds: int = 100) -> DataFrame:
         new = cut(novel(everything, derive(new, everything, schema)))
         if new.isEmpty():
             return everything
-        everything = cut(everything.unionByName(new))
+        everything = everything.unionByName(new)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

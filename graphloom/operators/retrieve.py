@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import fixed
 from graphloom.functions.terms import FOAF, OWL, RDF, RDFS, format_value, ngrams, question_words, short_name, strip, words
+from graphloom.plans.skew import hot_join
 
 
 def label_index(triples: DataFrame, base: str) -> DataFrame:
@@ -20,23 +21,31 @@ def label_index(triples: DataFrame, base: str) -> DataFrame:
     return every.groupBy("label").agg(F.max_by("uri", F.struct("pass", "uri")).alias("uri"))
 
 
-def _substrings(c: Column, shortest: int, longest: int) -> Column:
-    """All distinct substrings of a short text."""
+#: Letters of the keys by which names and labels that hold one another meet.
+KEY = 5
+
+
+def _grams(c: Column) -> Column:
+    """All distinct substrings of up to KEY letters: KEY for each letter of a text, however long it is."""
     n = F.length(c)
-    sizes = F.when(n >= shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), n))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: c.substr(i, k)))))
+    size = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: c.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(size(k) for k in range(1, KEY + 1))))
 
 
-#: Names longer than this take no part in the search by parts; a name is a phrase of a question.
-LONGEST_NAME = 80
+def _holding(long: DataFrame, text: str, short: DataFrame, part: str) -> DataFrame:
+    """Rows of ``long`` and ``short`` where ``text`` holds ``part``: the first letters of the part meet the substrings of the
+    text, and hot ones ("the ") are dealt to several tasks."""
+    keyed = long.withColumn("_g", F.explode(_grams(F.col(text)))).withColumn("_tie", F.col(text))
+    wanted = short.withColumn("_g", F.substring(part, 1, KEY))
+    counts = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_rows"))
+    return hot_join(keyed, wanted.join(counts, "_g"), "_g", "_rows", F.col("_tie")).filter(F.contains(text, F.col(part))).drop("_tie", "_g")
 
 
 def search(names: DataFrame, index: DataFrame, triples: DataFrame, bases: list[str]) -> DataFrame:
     """(name, uri, rank): what each name stands for. Ranks: the same label; a subject of that name under one of ``bases``; a label that
     holds the name or is held by it. Of several the longest label wins.
 
-    Names within labels are found by equality, not by trying all pairs: labels meet the substrings of a name, and
-    names meet the labels that have their first three letters.
+    Names within labels, of any length, are found by equality of their first letters with substrings, not by trying all pairs.
     """
     names = names.select("name").filter("name is not null").distinct().withColumn("_k", F.lower(strip("name")))
     found = [names.join(index, F.col("_k") == F.col("label")).select("name", "uri", "label", F.lit(1).alias("rank"))]
@@ -45,10 +54,9 @@ def search(names: DataFrame, index: DataFrame, triples: DataFrame, bases: list[s
         at = names.withColumn("uri", F.concat(F.lit(base), F.replace("name", F.lit(" "), F.lit("_"))))
         found.append(at.join(subjects, F.col("uri") == F.col("s"), "left_semi").select("name", "uri", F.col("_k").alias("label"), F.lit(2 + i).alias("rank")))
     last = 2 + len(bases)
-    short = names.filter((F.length("_k") >= 2) & (F.length("_k") <= LONGEST_NAME))
-    inside = short.withColumn("label", F.explode(_substrings(F.col("_k"), 1, LONGEST_NAME))).join(index, "label")
-    grams = index.filter(F.length("label") >= 2).withColumn("_g", F.explode(_substrings(F.col("label"), 2, 3)))
-    around = short.withColumn("_g", F.substring("_k", 1, 3)).join(grams, "_g").filter(F.contains("label", F.col("_k")))
+    parts = names.filter(F.length("_k") >= 2)
+    inside = _holding(parts, "_k", index.filter(F.length("label") >= 1), "label")
+    around = _holding(index.filter(F.length("label") >= 2), "label", parts, "_k")
     found += [x.select("name", "uri", "label", F.lit(last).alias("rank")) for x in (inside, around)]
     every = found[0]
     for x in found[1:]:
