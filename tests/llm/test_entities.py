@@ -47,8 +47,7 @@ def test_search_is_exact(spark):
     assert set(got) == want and len(got) == len(want) > 200
 
 
-def test_parts_are_apart_and_hot_keys_are_split(spark, monkeypatch):
-    monkeypatch.setattr("graphloom.plans.skew.HOT_ROWS", 3)
+def test_parts_are_apart(spark):
     a, b = _names(random.Random(5), 40)
     table = lambda p, ws: spark.createDataFrame([(p, w) for w in ws], "part string, name string")
     got = {(r["part"], r["name_a"], r["name_b"]) for r in M.near_names(table("k", a).union(table("l", b)), table("k", b).union(table("m", a))).collect()}
