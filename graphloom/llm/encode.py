@@ -12,8 +12,8 @@ The merge table (50,000 entries, whatever the corpus) is broadcast. Nothing is s
 scans that have fewer partitions than the cluster has cores.
 
 Defined cases: a null or empty text gives an empty list; text that looks like a special token is
-plain text; lone surrogates can't occur in Spark strings. Rows with the same id and text are kept
-once; other columns are ignored.
+plain text; lone surrogates can't occur in Spark strings. Every row gives a row, repeated ones too, since telling them
+apart would shuffle the corpus; rows without an id give none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -185,10 +185,10 @@ def ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     tokens = spark.sparkContext.broadcast(vocabulary(f"{folder.rstrip('/')}/{name}"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _BUILT:
+        if (key := f"{folder}/{name}") not in _BUILT:
             _BUILT.clear()
-            _BUILT[name] = Encoder(tokens.value)
-        encoder = _BUILT[name]
+            _BUILT[key] = Encoder(tokens.value)
+        encoder = _BUILT[key]
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             sizes = np.cumsum([len(t or "") for t in texts])

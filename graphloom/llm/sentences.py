@@ -6,7 +6,8 @@ token is comes from its unambiguous occurrences: before a lower-case word or a c
 end, at the end of a block one must, and before an opening function word one nearly always does. The
 occurrences in the same document count first, those in the whole corpus are the fallback. Tokens are
 told apart by the kind of word before them ("on St. X Lane" and "on X St."). Scripts without spaces
-or full stops have their own terminators; Thai ends sentences with spaces.
+or full stops have their own terminators; Thai ends sentences with spaces. A document that has no danda ends Devanagari sentences with
+full stops; in one written in small letters throughout, a small letter tells nothing and the tokens' evidence decides.
 
 Plan: one pass gives (page, token, counts); a partial aggregate over tokens gives the corpus
 evidence; tokens whose evidence changes a decision go back to their pages by a join that splits hot
@@ -50,7 +51,7 @@ _SPEECH = {k: re.compile(v) for k, v in SPEECH.items()}
 #: Particles that tie a Japanese quotation to what follows.
 _TIED = re.compile("と|って|は|が|を|に|の|で|も|へ|や|から|など|だ|です")
 
-STRONG = "。！？｡।॥؟۔։።၊။។᠃‼⁇⁈⁉"
+STRONG = "。！？｡।॥؟۔։።၊။។᠃‼⁇⁈⁉།༎"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "(": ")", "[": "]", "【": "】", "‘": "’", "‹": "›", "{": "}"}
 BRACKETS = "（([【{"
 _CLOSERS = "”“»」』》〉）)]】’›}\"'"
@@ -59,6 +60,7 @@ _STOPS = frozenset(_OPENERS + "…。！？।」』》）”»")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*|[ \x0c]\s*")
 _HEADING = re.compile(r"^[^\S\n]*(?:=+[^\n]*[^=\s][^\n]*=+|#{1,6}[^\S\n][^\n]+)[^\S\n]*$", re.M)
 _MARK = re.compile(r"[.!?…;" + STRONG + r"]+")
+_SHAD = re.compile(r"[^\S\n]*[།༎]")
 _LATIN_END = re.compile(r"[^\W\d_][\w]*$")
 _WORD = re.compile(r"[^\W\d_]+")
 _INNER = re.compile(r"(?:[^\W\d_]{1,4}\.-?)*[^\W\d_]|(?:[^\W\d_]{1,4}\.)+[^\W\d_]{1,4}")
@@ -112,6 +114,8 @@ def _pairs(s: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
         i, c = m.start(), m.group()
         if c in "’'" and 0 < i < n - 1 and s[i - 1].isalnum() and s[i + 1].isalnum():
             continue  # an apostrophe
+        if c == '"' and i and s[i - 1].isdigit() and all(o != '"' for o, _ in stack):
+            continue  # inches
         for k in range(len(stack) - 1, -1, -1):
             o, j = stack[k]
             if (c == '"' and o == '"') or (c != '"' and c in PAIRS.get(o, "")):
@@ -195,6 +199,9 @@ def scan(s: str) -> Iterator[tuple[int, int, str, str, int]]:
             if s[e] in "“" and not (k < len(outer) and outer[k][1] == e):
                 break
             e += 1
+        if s[i] in "།༎":
+            while (m := _SHAD.match(s, e)) is not None:
+                e = m.end()
         token, before = _token(s, i)
         yield i, e, token, before, opened
 
@@ -213,13 +220,24 @@ def _first_letter(s: str, j: int) -> int:
     return j
 
 
-def fact(s: str, i: int, e: int) -> str:
+def small(text: str) -> bool:
+    """Whether the document is written in small letters throughout, so that their case tells nothing."""
+    if text != text.lower():
+        return False
+    n = sum(c.islower() for c in text)
+    return n >= 20 and 2 * n >= sum(c.isalpha() for c in text)
+
+
+def fact(s: str, i: int, e: int, small: bool = False) -> str:
     """What follows a mark unambiguously: e(nd), l(ower case or a comma), o(pening word), d(igit), u(pper case), x (else)."""
     space, c, j = _after(s, e)
     if not c:
         return "e"
-    if c in ",;:)]-–—%" or c.islower():
+    if c in ",;:)]-–—%" or c.islower() and not small:
         return "l"
+    if small and c.islower():
+        m = _WORD.match(s, j)
+        return "o" if m and len(m.group()) > 1 and m.group() in OPENERS and s[m.end() : m.end() + 1] != "." else "u"
     j = _first_letter(s, j)
     if j >= len(s):
         return "e"
@@ -231,19 +249,22 @@ def fact(s: str, i: int, e: int) -> str:
     return "x"
 
 
+#: Not a token: the key under which a document says that it is written in small letters.
+SMALL = "\0small"
 Evidence = dict[str, tuple[int, int, int]]  # key -> all, with an end, without
 
 
 def evidence(text: str) -> dict[str, list[int]]:
     """key -> [occurrences, ends seen (block ends, opening words), non-ends seen] of a document."""
     out: dict[str, list[int]] = {}
+    lower = small(text)
     for a, b in blocks(text):
         s = text[a:b].rstrip()
         for i, e, token, before, _ in scan(s):
             mark = s[i]
-            if mark not in ".!?" or not token or len(token) > 12 or s[i : i + 2] == "..":
+            if mark not in ".!?" or not token or s[i : i + 2] == "..":
                 continue
-            f = fact(s, i, e)
+            f = fact(s, i, e, lower)
             for key in (_key(token, before, mark), _key(token, "*", mark)):
                 x = out.setdefault(key, [0, 0, 0])
                 x[0] += 1
@@ -291,7 +312,7 @@ def _is_end(s: str, start: int, i: int, e: int, token: str, before: str, opened:
     k = _first_letter(s, j)
     first = s[k] if k < len(s) else c
     cased = first.isupper() or first.islower()
-    if first.islower():
+    if first.islower() and not known.get(SMALL):
         return False
     marks = s[i : i + len(_MARK.match(s, i).group())]
     ellipsis = marks.startswith(("…", "..."))
@@ -328,8 +349,10 @@ def _is_end(s: str, start: int, i: int, e: int, token: str, before: str, opened:
             return False
         return space or first.isupper() or not cased and not first.isdigit() and first.isalpha()
     # a full stop
-    if before_script in ("hi", "th"):
+    if before_script == "th" or before_script == "hi" and known.get("।"):
         return False
+    if before_script == "hi":  # a document without dandas ends its sentences with full stops
+        return len(token) > 2 and (space or first.isalpha()) and _seen(known, token, before, mark) & (ABBREVIATION | CAN_END) != ABBREVIATION
     if before_script == "ar":
         return len(token) > 2 and (space or first.isalpha())
     if before_script == "ko":
@@ -350,7 +373,7 @@ def _is_end(s: str, start: int, i: int, e: int, token: str, before: str, opened:
         return True
     seen = _seen(known, token, before, mark)
     inner = _INNER.fullmatch(token) is not None
-    if len(token) == 1 and token.isupper() and first.isalpha() and cased:
+    if len(token) == 1 and (token.isupper() or known.get(SMALL) and token.isalpha()) and first.isalpha() and cased:
         return False  # an initial
     if not space:
         if first.isdigit():
@@ -391,6 +414,7 @@ def split(text: str | None, known: dict[str, int]) -> list[tuple[int, int]]:
         return []
     own = evidence(text)
     merged = dict(known)
+    merged |= {SMALL: int(small(text)), "।": int("।" in text or "॥" in text)}
     for k, (n, ends, non_ends) in own.items():
         seen = merged.get(k, 0)
         if non_ends and not seen & ABBREVIATION and not ends:

@@ -68,3 +68,32 @@ def test_very_long_text():
 def test_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "One. Two."), (2, "Three.")], "page_id long, text string")
     assert [tuple(r) for r in S.sentences(df).collect()] == [(2, 0, 6)]
+
+
+def _cut(text, known=None):
+    return [text[a:b] for a, b in S.split(text, known or {})]
+
+
+def test_devanagari_with_full_stops_where_there_is_no_danda():
+    assert _cut("हा एक खेळ आहे. तो लोकप्रिय आहे. त्याला अनेक पात्रे आहेत.") == ["हा एक खेळ आहे.", "तो लोकप्रिय आहे.", "त्याला अनेक पात्रे आहेत."]
+    assert _cut("डॉ. शर्मा आए। वे खेले।") == ["डॉ. शर्मा आए।", "वे खेले।"]
+
+
+def test_tibetan():
+    assert _cut("བོད་ཡིག་ནི་སྐད་ཡིག་ཅིག་ཡིན། །དེ་ནི་རྙིང་པ་ཡིན།") == ["བོད་ཡིག་ནི་སྐད་ཡིག་ཅིག་ཡིན། །", "དེ་ནི་རྙིང་པ་ཡིན།"]
+
+
+def test_posts_in_small_letters():
+    assert _cut("i played it last night. the boss was hard, e.g. the second form. did you win? not yet") == ["i played it last night.", "the boss was hard, e.g. the second form.", "did you win?", "not yet"]
+    assert _cut("The keep is old. it was rebuilt.") == ["The keep is old. it was rebuilt."]
+
+
+def test_inches_are_no_quotation():
+    assert _cut('The first screen has 5" of glass. It broke. The second has 7" of glass. It held.') == ['The first screen has 5" of glass.', "It broke.", 'The second has 7" of glass.', "It held."]
+    assert _cut('She said "We left in 1990" and sat. Then she rose.') == ['She said "We left in 1990" and sat.', "Then she rose."]
+
+
+def test_long_tokens_give_evidence():
+    long = "Gesellschaftsvertr"
+    text = f"Siehe {long}. nach dem Krieg. Auch {long}. vor dem Krieg. Der {long}. Müller kam."
+    assert S.evidence(text)[S._key(long, "*", ".")][2] == 2
