@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from graphloom.functions import fixed
 from graphloom.functions.terms import OWL, RDF, RDFS, XSD, slugify, strip
 from graphloom.operators.triples import novel
 from graphloom.sources.rdf import COLUMNS, TRIPLE
+from graphloom.sources.tables import cut
 
 KB = "http://graphloom.example/kb#"
 PROP = "http://graphloom.example/kb/prop#"
@@ -141,6 +144,21 @@ def expand(frontier: DataFrame, external: DataFrame, per_subject: int = 500, bla
     return hop.filter(~F.col("p").isin(*(fixed.NOISY_PROPERTIES if blacklist is None else blacklist)))
 
 
+def discovered(*sources: DataFrame) -> DataFrame:
+    """The things (column s) that any of several searches found."""
+    return reduce(DataFrame.unionByName, (d.select("s") for d in sources)).distinct()
+
+
+def frontier(found: DataFrame, anchors: DataFrame) -> DataFrame:
+    """What was found and isn't expanded yet."""
+    return found.select("s").distinct().join(anchors.select("s").distinct(), "s", "left_anti")
+
+
+def resources(triples: DataFrame, base: str = "http://dbpedia.org/resource/") -> DataFrame:
+    """Triples to things of a resource space, without its categories."""
+    return triples.filter((F.col("o_kind") == "uri") & F.col("o").startswith(base) & ~F.col("o").contains("Category:"))
+
+
 def expand_properties(external: DataFrame, members: DataFrame, properties: list[str]) -> DataFrame:
     return external.filter(F.col("p").isin(*properties)).join(members.select("s").distinct(), "s", "left_semi")
 
@@ -155,7 +173,7 @@ def expansion_log(graph: DataFrame, batches: list[tuple[str, str, DataFrame]]) -
     """The graph with each batch inserted, and how many triples each one brought that were new."""
     log = []
     for phase, description, facts in batches:
-        fresh = novel(graph, facts).persist()
+        fresh = cut(novel(graph, facts))
         log.append({"phase": phase, "description": description, "items": facts.select("s").distinct().count(), "triples_added": fresh.count()})
         graph = graph.unionByName(fresh)
     return graph, log

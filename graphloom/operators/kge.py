@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,46 +85,139 @@ def last_types(triples: DataFrame, order: Column) -> DataFrame:
     return triples.groupBy("s").agg(F.max_by("o", order).alias("type"))
 
 
-def train_transe(encoded: DataFrame, n_entities: int, n_relations: int, dim: int = 100, epochs: int = 50, rate: float = 0.01, batch: int = 512, seed: int = 42, margin: float = 1.0) -> DataFrame:
-    """(kind, id, vec): a translation model trained in parallel blocks whose parameters are averaged after each epoch.
+#: Numbers of all parameters that are broadcast at most, checked: 4 GB as doubles.
+MAX_PARAMETERS = 500_000_000
 
-    The parameters (ids x dim floats) are what is broadcast and returned by blocks; triples stay where they are.
+
+def _transe_step(e: np.ndarray, r: np.ndarray, h: np.ndarray, k: np.ndarray, t: np.ndarray, nh: np.ndarray, nt: np.ndarray, rate: float) -> None:
+    """A margin step: the true translation has to be shorter than the corrupted one by one."""
+    d, nd = e[h] + r[k] - e[t], e[nh] + r[k] - e[nt]
+    a, b = np.linalg.norm(d, axis=1), np.linalg.norm(nd, axis=1)
+    on = (1.0 + a - b > 0)[:, None]
+    g, ng = on * d / np.maximum(a, 1e-9)[:, None], on * nd / np.maximum(b, 1e-9)[:, None]
+    for ids, step in ((h, g), (t, -g), (nh, -ng), (nt, ng)):
+        np.add.at(e, ids, -rate * step)
+    np.add.at(r, k, -rate * (g - ng))
+
+
+def complex_score(h: np.ndarray, r: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Real part of the product of h, r and the conjugate of t; vectors hold their real parts, then their imaginary ones."""
+    (a, b), (c, d), (x, y) = (np.split(v, 2, axis=-1) for v in (h, r, t))
+    return (a * c * x + b * c * y + a * d * y - b * d * x).sum(axis=-1)
+
+
+def _complex_step(e: np.ndarray, r: np.ndarray, h: np.ndarray, k: np.ndarray, t: np.ndarray, nh: np.ndarray, nt: np.ndarray, rate: float) -> None:
+    """A logistic step on true and corrupted triples, with a small decay."""
+    for hs, ts, y in ((h, t, 1.0), (nh, nt, -1.0)):
+        eh, rk, et = e[hs], r[k], e[ts]
+        (a, b), (c, d), (x, z) = (np.split(v, 2, axis=1) for v in (eh, rk, et))
+        g = (-y / (1 + np.exp(np.clip(y * complex_score(eh, rk, et), -30, 30))))[:, None]
+        np.add.at(e, hs, -rate * (g * np.hstack([c * x + d * z, c * z - d * x]) + 1e-4 * eh))
+        np.add.at(e, ts, -rate * (g * np.hstack([a * c - b * d, b * c + a * d]) + 1e-4 * et))
+        np.add.at(r, k, -rate * (g * np.hstack([a * x + b * z, a * z - b * x]) + 1e-4 * rk))
+
+
+def train(encoded: DataFrame, n_entities: int, n_relations: int, model: str = "transe", dim: int = 100, epochs: int = 50, rate: float | None = None, batch: int = 512, seed: int = 42) -> DataFrame:
+    """(kind, id, vec): a model (``transe`` or ``complex``) trained in parallel blocks whose parameters are averaged after each epoch.
+
+    Triples stay where they are. The parameters are broadcast, at most MAX_PARAMETERS of them; a block takes the batches of its
+    partition one by one, and hands back only the rows that it touched, whose mean over those blocks becomes the new row.
     """
+    width = dim if model == "transe" else 2 * dim
+    if (n_entities + n_relations) * width > MAX_PARAMETERS:
+        raise ValueError("too many parameters for one broadcast: train on parts of the graph")
+    step = {"transe": _transe_step, "complex": _complex_step}[model]
+    rate = rate if rate is not None else {"transe": 0.01, "complex": 0.1}[model]
     spark = encoded.sparkSession
     rng = np.random.default_rng(seed)
-    bound = 6 / np.sqrt(dim)
-    ent, rel = rng.uniform(-bound, bound, (n_entities, dim)), rng.uniform(-bound, bound, (n_relations, dim))
-    rel /= np.linalg.norm(rel, axis=1, keepdims=True)
+    if model == "transe":
+        ent, rel = (rng.uniform(-6 / np.sqrt(dim), 6 / np.sqrt(dim), (n, dim)) for n in (n_entities, n_relations))
+        rel /= np.linalg.norm(rel, axis=1, keepdims=True)
+    else:
+        ent, rel = (rng.normal(0, 0.3, (n, width)) for n in (n_entities, n_relations))
     data = encoded.persist()
     for epoch in range(epochs):
-        ent /= np.maximum(np.linalg.norm(ent, axis=1, keepdims=True), 1e-12)
+        if model == "transe":
+            ent /= np.maximum(np.linalg.norm(ent, axis=1, keepdims=True), 1e-12)
         shared = spark.sparkContext.broadcast((ent, rel))
 
         def block(batches: Iterator[pd.DataFrame], epoch: int = epoch, shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             e, r = (x.copy() for x in shared.value)
-            rows = pd.concat(list(batches), ignore_index=True)
-            if not len(rows):
-                return
-            local = np.random.default_rng(seed + 1000 * epoch + int(rows["h"].iloc[0]))
-            for at in range(0, len(rows), batch):
-                h, k, t = (rows[c].to_numpy()[at : at + batch] for c in "hrt")
-                head = local.random(len(h)) < 0.5
-                other = local.integers(0, n_entities, len(h))
-                nh, nt = np.where(head, other, h), np.where(head, t, other)
-                d, nd = e[h] + r[k] - e[t], e[nh] + r[k] - e[nt]
-                a, b = np.linalg.norm(d, axis=1), np.linalg.norm(nd, axis=1)
-                on = (margin + a - b > 0)[:, None]
-                g, ng = on * d / np.maximum(a, 1e-9)[:, None], on * nd / np.maximum(b, 1e-9)[:, None]
-                for ids, step in ((h, g), (t, -g), (nh, -ng), (nt, ng)):
-                    np.add.at(e, ids, -rate * step)
-                np.add.at(r, k, -rate * (g - ng))
-            yield pd.DataFrame({"kind": ["e"] * len(e) + ["r"] * len(r), "id": [*range(len(e)), *range(len(r))], "vec": [*e.tolist(), *r.tolist()]})
-
-        new = data.mapInPandas(block, "kind string, id long, vec array<double>").groupBy("kind", "id").agg(F.array(*(F.avg(F.col("vec")[i]) for i in range(dim))).alias("vec")).collect()
-        for row in new:
-            (ent if row["kind"] == "e" else rel)[row["id"]] = row["vec"]
+            touched: tuple[set[int], set[int]] = (set(), set())
+            local = None
+            for rows in batches:
+                if not len(rows):
+                    continue
+                local = local or np.random.default_rng(seed + 1000 * epoch + int(rows["h"].iloc[0]))
+                for at in range(0, len(rows), batch):
+                    h, k, t = (rows[c].to_numpy()[at : at + batch] for c in "hrt")
+                    head = local.random(len(h)) < 0.5
+                    other = local.integers(0, n_entities, len(h))
+                    nh, nt = np.where(head, other, h), np.where(head, t, other)
+                    step(e, r, h, k, t, nh, nt, rate)
+                    touched[0].update(h.tolist(), t.tolist(), other.tolist())
+                    touched[1].update(k.tolist())
+            for kind, ids, x in (("e", sorted(touched[0]), e), ("r", sorted(touched[1]), r)):
+                for at in range(0, len(ids), 10_000):
+                    part = ids[at : at + 10_000]
+                    yield pd.DataFrame({"kind": kind, "id": part, "vec": list(x[part])})
+
+        new = data.mapInPandas(block, "kind string, id long, vec array<double>").groupBy("kind", "id").agg(F.array(*(F.avg(F.col("vec")[i]) for i in range(width))).alias("vec")).toArrow()
+        kinds, ids, vecs = (new.column(c) for c in ("kind", "id", "vec"))
+        if new.num_rows:
+            at, of = ids.to_numpy(), kinds.to_numpy() == "e"
+            rows = vecs.combine_chunks().flatten().to_numpy().reshape(-1, width)
+            ent[at[of]], rel[at[~of]] = rows[of], rows[~of]
+        shared.unpersist()
     data.unpersist()
-    return spark.createDataFrame([("e", i, v.tolist()) for i, v in enumerate(ent)] + [("r", i, v.tolist()) for i, v in enumerate(rel)], "kind string, id long, vec array<double>")
+    table = pa.table({"kind": ["e"] * len(ent) + ["r"] * len(rel), "id": [*range(len(ent)), *range(len(rel))], "vec": pa.array([*ent, *rel], type=pa.list_(pa.float64()))})
+    return spark.createDataFrame(table, "kind string, id long, vec array<double>")
+
+
+def train_transe(encoded: DataFrame, n_entities: int, n_relations: int, **options: float) -> DataFrame:
+    return train(encoded, n_entities, n_relations, "transe", **options)
+
+
+def model_ranks(model: DataFrame, tests: DataFrame, known: DataFrame, kind: str) -> DataFrame:
+    """(q, rank): filtered ranks of the tails of test triples (h, r, t) among all entities, for a trained model.
+
+    Blocks of entity vectors score the broadcast tests, which are bounded by the caller, and hand on counts only.
+    """
+    queries = tests.dropDuplicates(["h", "r", "t"]).withColumn("q", F.xxhash64("h", "r", "t"))
+    e = model.filter("kind = 'e'").select("id", "vec")
+    at = lambda c, x: e.select(F.col("id").alias(c), F.col("vec").alias(x))
+    rel = model.filter("kind = 'r'").select(F.col("id").alias("r"), F.col("vec").alias("vr"))
+    full = queries.join(at("h", "vh"), "h").join(rel, "r").join(at("t", "vt"), "t")
+    others = known.join(queries.select("h", "r", F.col("t").alias("_own"), "q"), ["h", "r"]).filter("t <> _own").select("q", F.col("t").alias("id"))
+    skip = others.groupBy("id").agg(F.collect_set("q").alias("skip"))
+    rows = full.select("q", "vh", "vr", "vt").toArrow()
+    q = rows.column("q").to_numpy()
+    vh, vr, vt = (np.stack(rows.column(c).to_numpy(zero_copy_only=False)) if rows.num_rows else np.zeros((0, 1)) for c in ("vh", "vr", "vt"))
+    score = (lambda h, r, t: -np.linalg.norm(h + r - t, axis=-1)) if kind == "transe" else complex_score
+    shared = model.sparkSession.sparkContext.broadcast((q, vh, vr, score(vh, vr, vt), kind))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, vh, vr, true, kind = shared.value
+        score = (lambda h, r, t: -np.linalg.norm(h + r - t, axis=-1)) if kind == "transe" else complex_score
+        place = {x: i for i, x in enumerate(q.tolist())}
+        above, not_below = np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.int64)
+        for pdf in batches:
+            for vec, skip in zip(pdf["vec"], pdf["skip"], strict=True):
+                s = score(vh, vr, np.asarray(vec)[None, :])
+                on = np.ones(len(q), dtype=bool)
+                if skip is not None:
+                    on[[place[x] for x in skip]] = False
+                above += on & (s > true + 1e-12)
+                not_below += on & (s >= true - 1e-12)
+        yield pd.DataFrame({"q": q, "above": above, "not_below": not_below})
+
+    counts = e.join(skip, "id", "left").mapInPandas(run, "q long, above long, not_below long").groupBy("q").agg(F.sum("above").alias("above"), F.sum("not_below").alias("not_below"))
+    return counts.select("q", ((F.col("above") + 1 + F.col("not_below")) / 2).alias("rank"))
+
+
+def neighbour_stats(neighbours: DataFrame) -> DataFrame:
+    """One row: seeds with neighbours, and neighbours in all."""
+    return neighbours.agg(F.countDistinct("seed").alias("entities"), F.count(F.lit(1)).alias("neighbours"))
 
 
 def filtered_ranks(scored: DataFrame, known: DataFrame) -> DataFrame:

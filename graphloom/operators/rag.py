@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import sparql_block
-from graphloom.operators import sparql
+from graphloom.operators import retrieve, sparql
 
 Model = Callable[[str], str]
 
@@ -29,6 +29,13 @@ def passages(hits: DataFrame) -> DataFrame:
     return joined_blocks(hits.select("qid", "place", line.alias("block")), "texts").withColumn("texts", F.trim(F.regexp_replace("texts", "\n\\[", "\n\n[")))
 
 
+def retrieved(questions: DataFrame, triples: DataFrame, docs: DataFrame, base: str, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(facts, texts) of questions (qid, question): the facts about what they name, and the nearest of docs (id, title, text)."""
+    ents = retrieve.question_entities(questions, retrieve.label_index(triples, base), triples, [base])
+    hits = retrieve.lexical_topk(questions.select("qid", F.col("question").alias("text")), docs.select("id", "text"), most).join(docs, "id")
+    return joined_blocks(retrieve.blocks(ents, triples), "facts"), passages(hits)
+
+
 def context(questions: DataFrame, facts: DataFrame, related: DataFrame, texts: DataFrame) -> DataFrame:
     """Questions (qid, question) with their three sections; the usual words where one is empty."""
     out = questions.join(facts, "qid", "left").join(related, "qid", "left").join(texts, "qid", "left")

@@ -126,6 +126,14 @@ def functional_violations(triples: DataFrame, properties: list[str]) -> DataFram
     return triples.filter(F.col("p").isin(*properties)).groupBy("s", "p").agg(F.countDistinct(term).alias("n_values")).filter("n_values > 1")
 
 
+def functional_same(triples: DataFrame, properties: list[str]) -> DataFrame:
+    """``owl:sameAs`` between the values of a functional property that are things: each with the least of its subject's values,
+    which says as much as all pairs do."""
+    values = triples.filter(F.col("p").isin(*properties) & (F.col("o_kind") != "literal")).select("s", "p", "o").distinct()
+    least = values.groupBy("s", "p").agg(F.min("o").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return _triple(values.join(least, ["s", "p"]).filter("o <> least").select("least", "o").distinct(), "least", f"'{OWL}sameAs'", "o")
+
+
 def disjoint_violations(triples: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(s, a, b): members of two disjoint classes, from one aggregate over the types of each subject."""
     classes = sorted({c for p in pairs for c in p})

@@ -15,7 +15,7 @@ from graphloom.operators import triples as tr
 from graphloom.plans import views
 from graphloom.plans.views import DATA, PREFIXES, T
 from graphloom.sources import files, rdf
-from graphloom.sources.tables import ensure_checkpoint_dir, load
+from graphloom.sources.tables import cut, ensure_checkpoint_dir, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -67,10 +67,9 @@ def bgp_chain_order_nation(spark: SparkSession, d: str) -> DataFrame:
     return sparql.run(g, "SELECT ?o ?name WHERE { ?o t:placedBy ?c . ?c t:locatedIn ?n . ?n rdfs:label ?name }", PREFIXES)
 
 
-@query("SELECT 'type' AS name, count(*) AS n FROM customer UNION ALL SELECT 'label', count(*) FROM customer UNION ALL SELECT 'locatedIn', count(*) FROM customer UNION ALL SELECT 'acctbal', count(*) FROM customer UNION ALL SELECT 'segment', count(*) FROM customer WHERE c_mktsegment IS NOT NULL")
+@query(f"SELECT s, p, o FROM ({views.CUSTOMERS_SQL}) WHERE o IS NOT NULL")
 def bgp_variable_predicate(spark: SparkSession, d: str) -> DataFrame:
-    rows = sparql.run(views.parties(spark, d), "SELECT ?s ?p ?o WHERE { ?s a t:Customer . ?s ?p ?o }", PREFIXES)
-    return tr.top_counts(rows, terms.short_name("p"), "name")
+    return sparql.run(views.parties(spark, d), "SELECT ?s ?p ?o WHERE { ?s a t:Customer . ?s ?p ?o }", PREFIXES)
 
 
 @query(f"""SELECT {_n("customer", "c_custkey")} AS c, CASE WHEN o_orderkey IS NOT NULL THEN {_n("order", "o_orderkey")} END AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'""")
@@ -155,9 +154,9 @@ def requirement_checks(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.round(F.col("b") / F.greatest("a", F.lit(1)), 1).alias("factor"), F.col("b").between(5_000, 5_000_000).alias("triples_ok"))
 
 
-@query(f"SELECT p, count(*) AS n FROM (SELECT DISTINCT * FROM ({views.SUPPLIERS_SQL} UNION ALL {views.PLACES_SQL})) GROUP BY p")
+@query(f"SELECT DISTINCT s, p, o, o_kind, dt FROM ({views.SUPPLIERS_SQL} UNION ALL {views.PLACES_SQL})")
 def insert_novel_triples(spark: SparkSession, d: str) -> DataFrame:
-    return tr.novel(views.customers(spark, d), views.parties(spark, d)).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return tr.novel(views.customers(spark, d), views.parties(spark, d)).select("s", "p", "o", "o_kind", "dt")
 
 
 @query(f"SELECT s, p, o FROM ({views.CUSTOMERS_SQL}) WHERE p <> '{T}segment'")
@@ -174,6 +173,16 @@ def expand_one_hop(spark: SparkSession, d: str) -> DataFrame:
     return kb.expand(frontier, views.lines(spark, d), blacklist=[T + "suppliedBy"]).select("s", "p", "o")
 
 
+@query(f"""WITH found AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'), front AS (SELECT k FROM found WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))
+SELECT {_n('customer', 'c_custkey')} AS s, '{T}locatedIn' AS p, {_n('nation', 'c_nationkey')} AS o FROM customer JOIN front ON c_custkey = k UNION ALL SELECT {_n('customer', 'c_custkey')}, '{RDFS}label', c_name FROM customer JOIN front ON c_custkey = k""")
+def expansion_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """Things that two searches discover, less those already expanded, and two properties of what is left."""
+    g = views.customers(spark, d)
+    by_status = lambda x: load(spark, d, "orders").filter(F.col("o_orderstatus") == x).select(views.node("customer", "o_custkey").alias("s"))
+    found = kb.discovered(g.filter((F.col("p") == T + "segment") & (F.col("o") == "BUILDING")), by_status("P"))
+    return kb.expand_properties(g, kb.frontier(found, by_status("F")), [T + "locatedIn", RDFS + "label"]).select("s", "p", "o")
+
+
 @query(f"""SELECT s, p, o FROM (SELECT s, p, o, row_number() OVER (PARTITION BY s ORDER BY p, o) AS n FROM ({views.CUSTOMERS_SQL})) WHERE n <= 2 AND p <> '{T}locatedIn'""")
 def expand_limited(spark: SparkSession, d: str) -> DataFrame:
     g = views.customers(spark, d)
@@ -264,6 +273,22 @@ def kb_build(spark: SparkSession, d: str) -> DataFrame:
     return kb.entity_triples(load(spark, d, "extracted_knowledge")).select("s", "p", "o")
 
 
+_RELATION_SQL = "rel AS (SELECT c_name AS subject, n_name AS object FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+_ENTITY_SQL = f"""SELECT s, '{RDF}type' AS p, '{OWL}NamedIndividual' AS o FROM m UNION SELECT s, '{RDF}type', '{kb.KB}' || cls FROM m UNION SELECT s, '{RDFS}label', text FROM m
+UNION SELECT s, '{kb.PROP}confidence', CAST(CAST(coalesce(confidence, 0.5) AS DECIMAL(5,2)) AS VARCHAR) FROM m UNION SELECT s, '{kb.PROP}sourceURL', source_url FROM m WHERE coalesce(source_url, '') <> '' UNION SELECT s, '{kb.PROP}extractMethod', method FROM m WHERE coalesce(method, '') <> ''"""
+
+
+@query(f"""WITH {_MENTION_SQL}, {_RELATION_SQL}, ends AS (SELECT DISTINCT e FROM (SELECT {_strip('subject')} AS e FROM rel UNION SELECT {_strip('object')} FROM rel) WHERE e NOT IN (SELECT text FROM m))
+{_ENTITY_SQL} UNION SELECT '{kb.KB}' || {_SLUG('e')}, '{RDF}type', '{OWL}NamedIndividual' FROM ends UNION SELECT '{kb.KB}' || {_SLUG('e')}, '{RDF}type', '{kb.KB}Entity' FROM ends UNION SELECT '{kb.KB}' || {_SLUG('e')}, '{RDFS}label', e FROM ends
+UNION SELECT '{kb.KB}' || {_SLUG('subject')}, '{kb.PROP}locatedIn', '{kb.KB}' || {_SLUG('object')} FROM rel""")
+def kb_build_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Entities, the ends of relations that no mention has, and the relations."""
+    c, n = load(spark, d, "customer"), load(spark, d, "nation")
+    relations = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("subject"), F.lit("located_in").alias("predicate"), F.col("n_name").alias("object"))
+    mentions = load(spark, d, "extracted_knowledge").filter(terms.strip("text") != "")
+    return kb.build(mentions, relations).select("s", "p", "o").distinct()
+
+
 @query(f"""WITH {_MENTION_SQL}, seen AS (SELECT DISTINCT text FROM m), ends AS (SELECT DISTINCT {_strip("label")} AS text FROM entity_mapping WHERE label IS NOT NULL AND {_strip("label")} <> '')
 SELECT '{kb.KB}' || {_SLUG('text')} AS s, text AS label FROM ends WHERE text NOT IN (SELECT text FROM seen)""")
 def kb_missing_endpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -314,10 +339,14 @@ def subproperty_domain_range(spark: SparkSession, d: str) -> DataFrame:
     return reason.derive(g, g, reason.Schema(axioms)).select("s", "p", "o").distinct()
 
 
-@query(f"SELECT {_n('customer', 'o_custkey')} AS s, '{T}placed' AS p, {_n('order', 'o_orderkey')} AS o FROM orders")
+@query(f"SELECT {_n('customer', 'o_custkey')} AS s, '{T}placed' AS p, {_n('order', 'o_orderkey')} AS o FROM orders UNION SELECT {_n('nation', 'b.n_nationkey')}, '{T}trades', {_n('nation', 'a.n_nationkey')} FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def symmetric_inverse(spark: SparkSession, d: str) -> DataFrame:
     axioms = views.schema(spark).filter((F.col("p") == OWL + "inverseOf") | (F.col("o") == OWL + "SymmetricProperty")).select(*rdf.COLUMNS)
-    g = views.orders(spark, d).filter(F.col("p") == T + "placedBy")
+    n = load(spark, d, "nation")
+    pairs = n.alias("a").join(n.alias("b"), (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey")))
+    none = F.lit(None).cast("string")
+    trades = pairs.select(views.node("nation", "a.n_nationkey").alias("s"), F.lit(T + "trades").alias("p"), views.node("nation", "b.n_nationkey").alias("o"), F.lit("uri").alias("o_kind"), none.alias("dt"), none.alias("lang"))
+    g = views.orders(spark, d).filter(F.col("p") == T + "placedBy").unionByName(trades)
     return reason.derive(g, g, reason.Schema(axioms)).select("s", "p", "o").distinct()
 
 
@@ -339,15 +368,41 @@ def swrl_rich_customer(spark: SparkSession, d: str) -> DataFrame:
     return reason.apply_rule(views.customers(spark, d), "?c a t:Customer . ?c t:acctbal ?a . FILTER(?a > 5000)", "?c a t:RichCustomer", PREFIXES).select("s", "o")
 
 
-@query("SELECT s, count(DISTINCT o) AS n_values FROM private_kb WHERE p LIKE '%/firstYear' AND o IS NOT NULL GROUP BY s HAVING count(DISTINCT o || coalesce(o_kind, '') || coalesce(dt, '') || coalesce(lang, '')) > 1")
+@query(f"SELECT {_n('customer', 'o_custkey')} AS s, count(DISTINCT o_orderkey) AS n_values FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey) > 1")
 def functional_violations(spark: SparkSession, d: str) -> DataFrame:
-    return reason.functional_violations(load(spark, d, "private_kb").filter("o is not null"), ["http://lanternkb.example/prop/firstYear"]).select("s", "n_values")
+    """Customers who placed several orders, as if that were functional; some placed one."""
+    axioms = views.schema(spark).filter(F.col("p") == OWL + "inverseOf").select(*rdf.COLUMNS)
+    g = views.orders(spark, d).filter(F.col("p") == T + "placedBy")
+    return reason.functional_violations(reason.derive(g, g, reason.Schema(axioms)), [T + "placed"]).select("s", "n_values")
+
+
+@query(f"WITH l AS (SELECT DISTINCT {_n('part', 'l_partkey')} AS s, {_n('supplier', 'l_suppkey')} AS o FROM lineitem), m AS (SELECT s, min(o) AS least FROM l GROUP BY s) SELECT DISTINCT least AS s, '{OWL}sameAs' AS p, o FROM l JOIN m USING (s) WHERE o <> least")
+def functional_same_as(spark: SparkSession, d: str) -> DataFrame:
+    return reason.functional_same(views.lines(spark, d), [T + "suppliedBy"]).select("s", "p", "o")
 
 
-@query("SELECT a.s, a.o AS a, b.o AS b FROM (SELECT DISTINCT s, o FROM private_kb WHERE o = 'http://lanternkb.example/kb/VideoGame') a JOIN (SELECT DISTINCT s, o FROM private_kb WHERE o IN ('http://lanternkb.example/kb/Entity', 'http://lanternkb.example/kb/Location', 'http://lanternkb.example/kb/Character')) b ON a.s = b.s")
+@query(f"SELECT {_n('customer', 'c_custkey')} AS s, '{T}Customer' AS a, '{T}RichCustomer' AS b FROM customer WHERE CAST(c_acctbal AS DECIMAL(18,2)) > 5000")
 def disjoint_violations(spark: SparkSession, d: str) -> DataFrame:
-    k = "http://lanternkb.example/kb/"
-    return reason.disjoint_violations(load(spark, d, "private_kb"), [(k + "VideoGame", k + x) for x in ("Entity", "Location", "Character")])
+    """Members of two classes declared disjoint, one of which a rule fills; a third pair has no members in common."""
+    g = views.customers(spark, d)
+    rich = reason.apply_rule(g, "?c a t:Customer . ?c t:acctbal ?a . FILTER(?a > 5000)", "?c a t:RichCustomer", PREFIXES)
+    return reason.disjoint_violations(tr.union(g, rich, views.suppliers(spark, d)), [(T + "Customer", T + "RichCustomer"), (T + "Customer", T + "Supplier")])
+
+
+@query(f"SELECT {_n('customer', 'o_custkey')} AS s, '{T}fulfilledBy' AS p, {_n('order', 'o_orderkey')} AS o FROM orders WHERE o_orderstatus = 'F'")
+def rule_of_three_patterns(spark: SparkSession, d: str) -> DataFrame:
+    g = tr.union(views.orders(spark, d), views.customers(spark, d))
+    return reason.apply_rule(g, '?c a t:Customer . ?o t:placedBy ?c . ?o t:status "F"', "?c t:fulfilledBy ?o", PREFIXES).select("s", "p", "o")
+
+
+@query(f"SELECT {_n('supplier', 'a.s_suppkey')} AS s, '{T}neighbourOf' AS p, {_n('supplier', 'b.s_suppkey')} AS o FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
+def rule_with_inequality(spark: SparkSession, d: str) -> DataFrame:
+    return reason.apply_rule(views.suppliers(spark, d), "?a t:locatedIn ?n . ?b t:locatedIn ?n . ?a a t:Supplier . ?b a t:Supplier . FILTER(?a != ?b)", "?a t:neighbourOf ?b", PREFIXES).select("s", "p", "o")
+
+
+@query(f"""WITH g AS (SELECT s, o, o_kind, p FROM ({views.CUSTOMERS_SQL})) SELECT DISTINCT x AS s, '{OWL}sameAs' AS p, x AS o FROM (SELECT s AS x FROM g UNION SELECT o FROM g WHERE o_kind = 'uri')""")
+def reflexive_same_as(spark: SparkSession, d: str) -> DataFrame:
+    return reason.reflexive(views.customers(spark, d)).select("s", "p", "o")
 
 
 @query(f"""SELECT 'Agent' AS cls, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'Party', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'Customer', (SELECT count(*) FROM customer)
@@ -364,10 +419,10 @@ _WORDS = lambda x: rf"len(list_filter(string_split_regex({x}, '[\s\x0b\x85\p{{Z}
 _CLEAN = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: length(x) >= 15 AND NOT (starts_with(x, '==') AND ends_with(x, '=='))), ' ')"
 
 
-@query(f"SELECT doc_id, length(clean) AS n_clean, {_WORDS('clean')} AS n_words FROM (SELECT doc_id, {_CLEAN} AS clean FROM documents WHERE text IS NOT NULL) WHERE {_WORDS('clean')} >= 100")
+@query(f"SELECT doc_id, md5(clean) AS clean, {_WORDS('clean')} AS n_words FROM (SELECT doc_id, {_CLEAN} AS clean FROM documents WHERE text IS NOT NULL) WHERE {_WORDS('clean')} >= 100")
 def doc_clean_filter(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").filter("text is not null").select("doc_id", terms.clean_text("text").alias("clean"))
-    return docs.withColumn("n_words", terms.word_count("clean")).filter("n_words >= 100").select("doc_id", F.length("clean").cast("long").alias("n_clean"), F.col("n_words").cast("long").alias("n_words"))
+    return docs.withColumn("n_words", terms.word_count("clean")).filter("n_words >= 100").select("doc_id", F.md5("clean").alias("clean"), F.col("n_words").cast("long").alias("n_words"))
 
 
 def _html() -> Column:
@@ -378,18 +433,18 @@ _HTML_SQL = "'<html><head><title>' || coalesce(title, '') || '</title><style>p {
 
 
 @query(
-    "SELECT page_id, title, length(" + _strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x0b\x85\p{Z}]+', ' ', 'g')")
-    + f") AS n FROM (SELECT page_id, regexp_extract({_HTML_SQL}, '(?is)<title>(.*?)</title>', 1) AS title, {_HTML_SQL} AS html FROM crawler_output WHERE text IS NOT NULL)"
+    "SELECT page_id, title, md5(" + _strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x0b\x85\p{Z}]+', ' ', 'g')")
+    + f") AS body FROM (SELECT page_id, regexp_extract({_HTML_SQL}, '(?is)<title>(.*?)</title>', 1) AS title, {_HTML_SQL} AS html FROM crawler_output WHERE text IS NOT NULL)"
 )
 def page_main_text(spark: SparkSession, d: str) -> DataFrame:
     pages = load(spark, d, "crawler_output").filter("text is not null").select("page_id", _html().alias("html"))
-    return pages.select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.length(terms.main_text("html")).cast("long").alias("n"))
+    return pages.select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.md5(terms.main_text("html")).alias("body"))
 
 
-@query(f"SELECT coalesce(c.page_id, d.doc_id) AS page_id, length(CASE WHEN c.text IS NOT NULL AND {_strip('c.text')} <> '' THEN c.text ELSE d.text END) AS n FROM crawler_output c FULL JOIN documents d ON c.page_id = d.doc_id")
+@query(f"SELECT coalesce(c.page_id, d.doc_id) AS page_id, md5(CASE WHEN c.text IS NOT NULL AND {_strip('c.text')} <> '' THEN c.text ELSE d.text END) AS text FROM crawler_output c FULL JOIN documents d ON c.page_id = d.doc_id")
 def source_fallback(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    return files.first_text(load(spark, d, "crawler_output").select("page_id", "text"), docs, "page_id").select("page_id", F.length("text").cast("long").alias("n"))
+    return files.first_text(load(spark, d, "crawler_output").select("page_id", "text"), docs, "page_id").select("page_id", F.md5("text").alias("text"))
 
 
 @query(f"SELECT count(*) AS docs, CAST(sum(w) AS BIGINT) AS words, CAST(sum(w) // count(*) AS BIGINT) AS avg_words FROM (SELECT {_WORDS('text')} AS w FROM documents WHERE text IS NOT NULL)")
@@ -427,10 +482,10 @@ def mention_dedup_first(spark: SparkSession, d: str) -> DataFrame:
 _SENTS_SQL = rf"sents AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[\t\n\x0b\f\r ]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')} <> '')[1:60] AS s FROM documents WHERE text IS NOT NULL))"
 
 
-@query(f"WITH {_SENTS_SQL} SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM sents GROUP BY doc_id")
+@query(f"WITH {_SENTS_SQL} SELECT doc_id, CAST(sent AS INTEGER) AS sent, md5(sentence) AS sentence FROM sents")
 def sentence_split_cap(spark: SparkSession, d: str) -> DataFrame:
-    s = _docs(spark, d).select("doc_id", F.explode(F.slice(extract.sentences(F.col("text")), 1, extract.SENTENCES)).alias("s"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).cast("long").alias("chars"))
+    s = _docs(spark, d).select("doc_id", F.posexplode(F.slice(extract.sentences(F.col("text")), 1, extract.SENTENCES)).alias("sent", "s"))
+    return s.select("doc_id", "sent", F.md5("s").alias("sentence"))
 
 
 _SE_SQL = f"{_MENTIONS_SQL}, {_SENTS_SQL}, firsts AS (SELECT doc_id, text, type, min(ord) AS ord FROM ments GROUP BY ALL), se AS (SELECT s.doc_id, s.sent, s.sentence, f.text, f.type, f.ord, count(*) OVER (PARTITION BY s.doc_id, s.sent) AS k FROM sents s JOIN firsts f ON s.doc_id = f.doc_id AND contains(lower(s.sentence), lower(f.text))), good AS (SELECT * FROM se WHERE k >= 2)"
@@ -575,18 +630,6 @@ def coverage_metric(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.coverage(hits.join(counts, hits["uri"] == counts["s"], "left").select(F.coalesce("n", F.lit(0)).alias("n_facts")))
 
 
-NEIGHBOURS = [
-    ("http://dbpedia.org/resource/A", 0, "http://dbpedia.org/resource/Ever_Oasis", "Ever_Oasis", 0.41), ("http://dbpedia.org/resource/A", 1, "http://dbpedia.org/resource/Q42", "Q42", 0.52), ("http://dbpedia.org/resource/A", 2, "http://dbpedia.org/resource/Logo.PNG", "Logo.PNG", 0.60),
-    ("http://dbpedia.org/resource/B", 0, "http://fr.dbpedia.org/resource/Console", "Console", 0.70), ("http://dbpedia.org/resource/B", 1, "http://dbpedia.org/resource/Category:Games", "Category:Games", 0.71), ("http://dbpedia.org/resource/B", 2, "http://dbpedia.org/resource/1080", "1080", 0.44), ("http://dbpedia.org/resource/B", 3, "http://dbpedia.org/resource/Low_Similarity", "Low_Similarity", 0.29),
-]
-
-
-@query("SELECT * FROM (VALUES ('http://dbpedia.org/resource/A', 'http://dbpedia.org/resource/Ever_Oasis', 0.41::DOUBLE)) AS t(seed, entity, sim)")
-def neighbour_filter_threshold(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.createDataFrame(NEIGHBOURS, "seed string, rank int, entity string, label string, sim double")
-    return n.filter(kge.useful_neighbour(F.col("entity"), F.col("label")) & (F.col("sim") >= 0.30)).select("seed", "entity", "sim")
-
-
 @query()
 def neighbour_facts(spark: SparkSession, d: str) -> DataFrame:
     vec = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -620,10 +663,10 @@ w AS (SELECT id, term, tf * idf AS x FROM tf JOIN df USING (term)), nm AS (SELEC
 
 
 @query(r"WITH docs AS (SELECT doc_id AS id FROM documents WHERE text IS NOT NULL), " + _TFIDF_SQL + r""", qt AS (SELECT DISTINCT item_id AS qid, unnest(string_split(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term FROM eval_items), sc AS (SELECT qid, id, round(sum(w), 6) AS score FROM qt JOIN ww USING (term) WHERE term <> '' GROUP BY ALL)
-SELECT qid, CAST(count(*) AS INTEGER) AS n, round(max(score), 4) AS best FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM sc) WHERE place <= 3 GROUP BY qid""")
+SELECT qid, round(score, 4) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM sc) WHERE place <= 3""")
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     top = retrieve.lexical_topk(load(spark, d, "eval_items").select(F.col("item_id").alias("qid"), "text"), _docs(spark, d).withColumnRenamed("doc_id", "id"), 3)
-    return top.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("n"), F.round(F.max("score"), 4).alias("best"))
+    return top.select("qid", F.round("score", 4).alias("score"), F.col("place").cast("int").alias("place"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -689,20 +732,39 @@ _SUM_SQL = "p AS (SELECT a.id * 100 + b.id AS qid, list_transform(list_zip(a.vec
 
 @query(f"WITH {_CENT_SQL}, {_SUM_SQL} SELECT qid, id, score FROM (SELECT qid, id, round({_COS('q', 'vec')}, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round({_COS('q', 'vec')}, 6) DESC, id) AS n FROM p, c) WHERE n <= 3")
 def composition_top3(spark: SparkSession, d: str) -> DataFrame:
-    c = _centroids(spark, d).persist()
+    c = cut(_centroids(spark, d))
     pairs = c.alias("a").join(c.alias("b"), F.col("b.id") == F.col("a.id") + 1).select((F.col("a.id") * 100 + F.col("b.id")).alias("qid"), vectors.add(F.col("a.vec"), F.col("b.vec")).alias("qvec"))
     return kge.nearest(pairs, c, 3, exclude_self=False, round_to=6).select("qid", "id", "score")
 
 
 @query(f"WITH {_CENT_SQL}, {_SUM_SQL}, s AS (SELECT qid, id, round({_COS('q', 'vec')}, 6) AS score FROM p, c), t AS (SELECT qid, score FROM s WHERE id = qid % 100) SELECT t.qid, CAST(1 + count(*) FILTER (WHERE s.score > t.score) AS BIGINT) AS target_rank FROM t JOIN s USING (qid) GROUP BY t.qid")
 def rule_vs_vector(spark: SparkSession, d: str) -> DataFrame:
-    c = _centroids(spark, d).persist()
+    c = cut(_centroids(spark, d))
     pairs = c.alias("a").join(c.alias("b"), F.col("b.id") == F.col("a.id") + 1).select((F.col("a.id") * 100 + F.col("b.id")).alias("qid"), vectors.add(F.col("a.vec"), F.col("b.vec")).alias("qvec"))
     s = kge.nearest(pairs, c, 1000, exclude_self=False, round_to=6)
     t = s.filter(F.col("id") == F.pmod("qid", F.lit(100))).select("qid", F.col("score").alias("_t"))
     return s.join(t, "qid").groupBy("qid").agg((F.lit(1) + F.count_if(F.col("score") > F.col("_t"))).cast("long").alias("target_rank"))
 
 
+# embeddings as things of several spaces, some of which can't be shown
+_THING_SQL = "CASE id % 5 WHEN 0 THEN 'http://dbpedia.org/resource/Lamp_' || id WHEN 1 THEN 'http://dbpedia.org/resource/Category:' || id WHEN 2 THEN 'http://fr.dbpedia.org/resource/Lampe_' || id WHEN 3 THEN 'http://dbpedia.org/resource/Lamp_' || id || '.PNG' ELSE 'http://dbpedia.org/resource/Q' || id END"
+
+
+def _near_things(spark: SparkSession, d: str) -> DataFrame:
+    thing = F.expr(_THING_SQL)
+    return vector_knn_excl_self(spark, d).withColumn("entity", thing).withColumn("label", F.substring_index("entity", "/", -1))
+
+
+@query(f"WITH {_COS_SQL}, n AS (SELECT qid, id, score, {_THING_SQL} AS entity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM s WHERE qid <> id) WHERE place <= 5) SELECT qid, entity, score FROM n WHERE id % 5 = 0 AND score >= 0.3")
+def neighbour_filter_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _near_things(spark, d).filter(kge.useful_neighbour(F.col("entity"), F.col("label")) & (F.col("score") >= 0.30)).select("qid", "entity", "score")
+
+
+@query(f"WITH {_COS_SQL} SELECT count(DISTINCT qid) AS entities, count(*) AS neighbours FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM s WHERE qid <> id) WHERE place <= 5")
+def neighbour_stats(spark: SparkSession, d: str) -> DataFrame:
+    return kge.neighbour_stats(vector_knn_excl_self(spark, d).withColumnRenamed("qid", "seed"))
+
+
 # test triples: each vector belongs to its label's centroid; the candidates are the centroids
 _RANK_SQL = f"{_CENT_SQL}, sc AS (SELECT vec_id AS q, c.id AS candidate, e.label AS truth, round(-sqrt(list_sum(list_transform(list_zip(e.embedding, c.vec), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))), 6) AS score FROM embeddings e, c), rk AS (SELECT a.q, (count(*) FILTER (WHERE b.score > a.score) + 1 + count(*) FILTER (WHERE b.score >= a.score)) / 2 AS rank FROM sc a JOIN sc b ON a.q = b.q WHERE a.candidate = a.truth AND NOT (b.candidate = (b.truth + 1) % 10) GROUP BY a.q)"
 
@@ -722,12 +784,6 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     return kge.ranking_metrics(_ranks(spark, d))
 
 
-@query("SELECT 'ComplEx' AS best")
-def best_model(spark: SparkSession, d: str) -> DataFrame:
-    m = spark.createDataFrame([("TransE", 0.03882), ("ComplEx", 0.11212)], "model string, mrr double")
-    return m.agg(F.max_by("model", "mrr").alias("best"))
-
-
 _HALF = lambda v, lo: f"{v}[{lo + 1}:{lo + 32}]"
 _THREE = lambda a, b, c: f"list_sum(list_transform(list_zip({a}, {b}, {c}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE) * CAST(z[3] AS DOUBLE)))"
 
@@ -759,14 +815,33 @@ def pca_projection(spark: SparkSession, d: str) -> DataFrame:
     return p.select("vec_id", "label", F.round(F.col("xy")[0], 4).alias("x"), F.round(F.col("xy")[1], 4).alias("y"))
 
 
+def _encoded(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    parts = kge.repair_leakage(kge.split(kge.cleaned(views.parties(spark, d), [RDF + "type"])))
+    ents = kge.dictionary(parts.select(F.col("s").alias("uri")).unionByName(parts.select(F.col("o").alias("uri"))), "uri")
+    rels = kge.dictionary(parts.select(F.col("p").alias("uri")), "uri")
+    e = lambda a, b: ents.select(F.col("uri").alias(a), F.col("id").alias(b))
+    enc = parts.join(e("s", "h"), "s").join(e("o", "t"), "o").join(rels.select(F.col("uri").alias("p"), F.col("id").alias("r")), "p").select("h", "r", "t", "part")
+    return enc, ents.count(), rels.count()
+
+
+@query()
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Both models trained on the same part and ranked on the same test triples, with the better one marked."""
+    enc, n_e, n_r = _encoded(spark, d)
+    enc = cut(enc)
+    rows = []
+    for name, rate in (("TransE", 0.1), ("ComplEx", 0.3)):
+        model = cut(kge.train(enc.filter("part = 'train'").drop("part"), n_e, n_r, name.lower(), dim=32, epochs=10, batch=16, rate=rate))
+        rows.append(kge.ranking_metrics(kge.model_ranks(model, enc.filter("part = 'test'").drop("part"), enc.select("h", "r", "t"), name.lower())).withColumn("model", F.lit(name)))
+    both = rows[0].unionByName(rows[1])
+    best = both.agg(F.max("mrr").alias("_best"))
+    return both.crossJoin(F.broadcast(best)).select("model", "mrr", "hits_at_1", "hits_at_3", "hits_at_10", (F.col("mrr") == F.col("_best")).alias("best"))
+
+
 @query()
 def transe_training(spark: SparkSession, d: str) -> DataFrame:
-    links = kge.cleaned(views.parties(spark, d), [RDF + "type"])
-    ents = kge.dictionary(links.select(F.col("s").alias("uri")).unionByName(links.select(F.col("o").alias("uri"))), "uri")
-    rels = kge.dictionary(links.select(F.col("p").alias("uri")), "uri")
-    enc = kge.encode(links, ents, rels)
-    model = kge.train_transe(enc, ents.count(), rels.count(), dim=16, epochs=3)
-    return model.filter("kind = 'r'").select("id", F.round(vectors.norm(F.col("vec")), 3).alias("norm"))
+    enc, n_e, n_r = _encoded(spark, d)
+    return kge.train_transe(enc.drop("part"), n_e, n_r, dim=32, epochs=10, batch=16, rate=0.1).select("kind", "id", F.round(vectors.norm(F.col("vec")), 3).alias("norm"))
 
 
 # ---------------------------------------------------------------- answers
@@ -788,12 +863,10 @@ def schema_summary(spark: SparkSession, d: str) -> DataFrame:
 def _contexts(spark: SparkSession, d: str) -> DataFrame:
     g = views.parties(spark, d)
     qs = _questions(spark)
-    ents = retrieve.question_entities(qs, retrieve.label_index(g, DATA), g, [DATA])
-    facts = rag.joined_blocks(retrieve.blocks(ents, g), "facts")
     docs = load(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "title", "text")
-    hits = retrieve.lexical_topk(qs.select("qid", F.col("question").alias("text")), docs.select("id", "text"), 3).join(docs, "id")
+    facts, texts = rag.retrieved(qs, g, docs, DATA)
     none = qs.select("qid").limit(0).withColumn("related", F.lit(""))
-    return rag.context(qs, facts, none, rag.passages(hits))
+    return rag.context(qs, facts, none, texts)
 
 
 @query()
@@ -852,11 +925,11 @@ def tsv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rdf.read_tsv(spark, path)
 
 
-@query("SELECT url, length(text) AS n, word_count FROM crawler_output")
+@query("SELECT url, md5(text) AS text, word_count FROM crawler_output")
 def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark)
     files.write_jsonl(load(spark, d, "crawler_output").drop("page_id"), path)
-    return files.read_jsonl(spark, path).select("url", F.length("text").cast("long").alias("n"), "word_count")
+    return files.read_jsonl(spark, path).select("url", F.md5("text").alias("text"), "word_count")
 
 
 @query(f"SELECT {_strip('private_entity')} AS private_entity, nullif({_strip('label')}, '') AS label, status FROM entity_mapping")

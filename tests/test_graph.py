@@ -165,3 +165,16 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u string, v string")).collect()}
     assert {got[f"a{i}"] for i in range(31)} == {"a0"} and {got[k] for k in got if k[0] == "h"} == {"h000"} and got["z"] == "y" and "x" not in got
     assert connected_components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_functional_same(spark):
+    g = spark.createDataFrame([("a", "http://x/p/" + "f", x, "uri", None, None) for x in "zyx"] + [("b", "http://x/p/" + "f", "x", "uri", None, None), ("a", "http://x/p/" + "g", "w", "uri", None, None), ("a", "http://x/p/" + "f", "5", "literal", None, None)], rdf.TRIPLE)
+    assert {(r["s"], r["o"]) for r in reason.functional_same(g, ["http://x/p/" + "f"]).collect()} == {("x", "y"), ("x", "z")}
+
+
+def test_discovery_frontier_and_resources(spark):
+    s = lambda *xs: spark.createDataFrame([(x,) for x in xs], "s string")
+    assert {r["s"] for r in kb.frontier(kb.discovered(s("a", "b", "b"), s("b", "c")), s("c")).collect()} == {"a", "b"}
+    base = "http://dbpedia.org/resource/"
+    g = spark.createDataFrame([("a", "http://x/p/" + "l", base + "X", "uri", None, None), ("a", "http://x/p/" + "l", base + "Category:Y", "uri", None, None), ("a", "http://x/p/" + "l", "http://else/Z", "uri", None, None)], rdf.TRIPLE)
+    assert [r["o"] for r in kb.resources(g).collect()] == [base + "X"]

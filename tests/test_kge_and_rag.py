@@ -56,6 +56,35 @@ def test_training_learns(spark):
     assert good < bad
 
 
+def test_complex_training_learns_and_ranks(spark):
+    triples = [(i, 0, (i + 1) % 12) for i in range(12)]
+    enc = spark.createDataFrame(triples, "h long, r long, t long").coalesce(1)
+    df = kge.train(enc, 12, 1, "complex", dim=8, epochs=60, rate=0.2, batch=4)
+    model = {(r["kind"], r["id"]): np.array(r["vec"]) for r in df.collect()}
+    score = lambda i, j: float(kge.complex_score(model["e", i], model["r", 0], model["e", j]))
+    assert np.mean([score(i, (i + 1) % 12) for i in range(12)]) > np.mean([score(i, (i + 6) % 12) for i in range(12)])
+    ranks = {r["q"]: r["rank"] for r in kge.model_ranks(df, enc, enc, "complex").collect()}
+    want = sorted(1 + sum(score(h, x) > score(h, t) for x in range(12)) for h, _, t in triples)
+    assert sorted(ranks.values()) == want
+    assert kge.train(enc.limit(0), 3, 1, "complex", dim=4, epochs=1).count() == 4
+
+
+def test_filtered_ranks_of_a_model_skip_other_true_answers(spark):
+    model = spark.createDataFrame([("e", i, [float(x)]) for i, x in enumerate((0, 1, 2, 3))] + [("r", 0, [1.0])], "kind string, id long, vec array<double>")
+    test = spark.createDataFrame([(0, 0, 2)], "h long, r long, t long")
+    assert [r["rank"] for r in kge.model_ranks(model, test, test, "transe").collect()] == [2.5]
+    known = test.union(spark.createDataFrame([(0, 0, 1)], "h long, r long, t long"))
+    assert [r["rank"] for r in kge.model_ranks(model, test, known, "transe").collect()] == [1.5]
+
+
+def test_long_names_are_searched(spark):
+    tr = spark.createDataFrame([("http://x#w", "http://www.w3.org/2000/01/rdf-schema#label", "old well", "literal", None, None)], rdf.TRIPLE)
+    index = retrieve.label_index(tr, "http://x#")
+    long = "tell me please " * 20 + "about the old well of the town"
+    got = retrieve.search(spark.createDataFrame([(long,), ("well",), ("nothing",)], "name string"), index, tr, []).collect()
+    assert {r["name"]: r["uri"] for r in got} == {long: "http://x#w", "well": "http://x#w"}
+
+
 def graph(spark):
     label = "http://www.w3.org/2000/01/rdf-schema#label"
     rows = [("http://x#Lamp", label, "Lamp", "literal", None, "en"), ("http://x#Lamp", label, "Lampe", "literal", None, "fr"), ("http://x#Lamp", P + "near", "http://x#Old_Well", "uri", None, None), ("http://x#Old_Well", label, "Old Well", "literal", None, None), ("http://x#Lamp", P + "q", "http://w/Q42", "uri", None, None), ("http://x#Lamp", P + "sameAs", "http://w/Z", "uri", None, None)]
