@@ -87,6 +87,8 @@ def last_types(triples: DataFrame, order: Column) -> DataFrame:
 
 #: Numbers of all parameters that are broadcast at most, checked: 4 GB as doubles.
 MAX_PARAMETERS = 500_000_000
+#: Triples that a block of the training has at least.
+BLOCK = 5_000
 
 
 def _transe_step(e: np.ndarray, r: np.ndarray, h: np.ndarray, k: np.ndarray, t: np.ndarray, nh: np.ndarray, nt: np.ndarray, rate: float) -> None:
@@ -136,6 +138,8 @@ def train(encoded: DataFrame, n_entities: int, n_relations: int, model: str = "t
     else:
         ent, rel = (rng.normal(0, 0.3, (n, width)) for n in (n_entities, n_relations))
     data = encoded.persist()
+    blocks = max(1, data.count() // BLOCK)  # the mean of many blocks with few triples each would hardly move
+    data = data.coalesce(blocks) if blocks < data.rdd.getNumPartitions() else data
     for epoch in range(epochs):
         if model == "transe":
             ent /= np.maximum(np.linalg.norm(ent, axis=1, keepdims=True), 1e-12)
@@ -169,7 +173,7 @@ def train(encoded: DataFrame, n_entities: int, n_relations: int, model: str = "t
             rows = vecs.combine_chunks().flatten().to_numpy().reshape(-1, width)
             ent[at[of]], rel[at[~of]] = rows[of], rows[~of]
         shared.unpersist()
-    data.unpersist()
+    encoded.unpersist()
     table = pa.table({"kind": ["e"] * len(ent) + ["r"] * len(rel), "id": [*range(len(ent)), *range(len(rel))], "vec": pa.array([*ent, *rel], type=pa.list_(pa.float64()))})
     return spark.createDataFrame(table, "kind string, id long, vec array<double>")
 

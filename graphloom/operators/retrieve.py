@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import fixed
 from graphloom.functions.terms import FOAF, OWL, RDF, RDFS, format_value, ngrams, question_words, short_name, strip, words
-from graphloom.plans.skew import hot_join
 
 
 def label_index(triples: DataFrame, base: str) -> DataFrame:
@@ -34,11 +33,9 @@ def _grams(c: Column) -> Column:
 
 def _holding(long: DataFrame, text: str, short: DataFrame, part: str) -> DataFrame:
     """Rows of ``long`` and ``short`` where ``text`` holds ``part``: the first letters of the part meet the substrings of the
-    text, and hot ones ("the ") are dealt to several tasks."""
-    keyed = long.withColumn("_g", F.explode(_grams(F.col(text)))).withColumn("_tie", F.col(text))
-    wanted = short.withColumn("_g", F.substring(part, 1, KEY))
-    counts = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_rows"))
-    return hot_join(keyed, wanted.join(counts, "_g"), "_g", "_rows", F.col("_tie")).filter(F.contains(text, F.col(part))).drop("_tie", "_g")
+    text. Where one side is small the planner broadcasts it, else adaptive execution splits hot letters ("the ")."""
+    keyed = long.withColumn("_g", F.explode(_grams(F.col(text))))
+    return keyed.join(short.withColumn("_g", F.substring(part, 1, KEY)), "_g").filter(F.contains(text, F.col(part))).drop("_g")
 
 
 def search(names: DataFrame, index: DataFrame, triples: DataFrame, bases: list[str]) -> DataFrame:
