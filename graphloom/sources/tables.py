@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+            atexit.register(shutil.rmtree, shared, True)
         sc.setCheckpointDir(f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if "://" in shared else shared)
     return sc.getCheckpointDir()
 
