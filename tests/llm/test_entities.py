@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -91,3 +92,44 @@ def test_found(spark):
     assert ("Lampquest_Orrimdal", "http://w/Q1") in got and all(u != "http://w/Q3" for _, u in got)
     assert M.found(mapping.limit(0), kb, items).count() == 0
     assert M.found(mapping, kb.limit(0), items.limit(0)).count() == 0
+
+
+def test_large_routes_give_the_same(spark, monkeypatch):
+    """Routes that are split before the exchange, and ones that are searched by their next bits, against brute force."""
+    a, b = _names(random.Random(7), 150)
+    want = {(x, y) for x in a for y in b if apart(x, y) <= limit(x, y)}
+    table = lambda ws: spark.createDataFrame([("k", w) for w in ws], "part string, name string")
+    monkeypatch.setattr(M, "HOT_ROUTE", 60)
+    assert {(r["name_a"], r["name_b"]) for r in M.near_names(table(a), table(b)).collect()} == want
+    bits = sum((F.bit_count(f"v{i}") for i in range(1, 4)), F.bit_count("v0"))
+    va, vb = (M._vectors(table(x)).withColumns({"id": F.xxhash64("name"), "bits": bits}) for x in (a, b))
+    for i in range(4):
+        rows = M.routes(va, 0, i).union(M.routes(vb, 1, i)).orderBy("route").toPandas()
+        met = []
+        for block, batch in ((2_000_000, 10**6), (20_000, 500)):
+            monkeypatch.setattr(M, "BLOCK", block)
+            monkeypatch.setattr(M, "ROWS", batch)
+            found = [tuple(x) for pdf in M._met(rows[k : k + batch] for k in range(0, len(rows), batch)) for x in pdf.itertuples(index=False)]
+            met.append(sorted(found))
+        assert met[0] == met[1] and len(met[0]) > 20
+
+
+def test_rows_exchanged_for_a_name(spark):
+    """A name is exchanged some fifteen times, not once for each of its hundreds of keys, and its shuffle files don't outlast the search."""
+    a, b = _names(random.Random(8), 200)
+    table = lambda ws: spark.createDataFrame([("k", w) for w in ws], "part string, name string")
+    bits = sum((F.bit_count(f"v{i}") for i in range(1, 4)), F.bit_count("v0"))
+    va, vb = (M._vectors(table(x)).withColumns({"id": F.xxhash64("name"), "bits": bits}) for x in (a, b))
+    assert sum(M.routes(va, 0, i).count() for i in range(4)) <= 21 * len(a)  # 15, and 6 where both searches apply
+    before = _shuffles(spark)
+    M.met(va, vb)
+    deadline = time.time() + 20
+    while _shuffles(spark) > before and time.time() < deadline:  # executors are told, not waited for
+        time.sleep(0.2)
+    assert _shuffles(spark) <= before
+
+
+def _shuffles(spark):
+    """Shuffles whose files are kept."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.getName().startswith("shuffle_") for f in (blocks.apply(i) for i in range(blocks.size())))
