@@ -132,3 +132,39 @@ def test_extra_columns_and_repeated_rows(spark):
     more = docs.union(docs.filter("doc_id < 30")).selectExpr("doc_id", "text", "lang", "'x' as tokens", "1 as labels", "'y' as subject")
     got = [tuple(r) for r in P.found(more, areas, labels).collect()]
     assert len(got) == len(set(got)) >= 120
+
+
+def test_size_of_the_corpus_switches_nothing(spark):
+    """Words and pairs of three documents are told apart among 80,000 documents as they are among 120."""
+    docs, areas, labels = corpus(spark)
+    docs = docs.union(spark.createDataFrame([(i, "The quokka wombat was near.", "en") for i in (300, 301, 302)], docs.schema))
+    more = spark.range(1000, 81_000).selectExpr("id", "'It is so of old.'", "'en'")
+    for all_ in (docs, docs.union(more)):
+        _, _, languages, models, _, _ = P.trained(all_, areas, labels)
+        w = P.numbers(["the", "quokka", "wombat"]).view(np.int64)
+        t = P.Texts([w], [np.array([3])])
+        at = models.v.indices(*languages.marked(t))
+        assert (at < len(models.v.words)).all()
+        assert (P._find(models.pairs, models.v.pair(at[:-1], at[1:])) >= 0).all()
+
+
+def test_blocks_get_all_they_need(spark):
+    """Each block's part of the models gives what the whole models give."""
+    docs, areas, labels = corpus(spark)
+    numbered, subjects, languages, models, thresholds, _ = P.trained(docs, areas, labels)
+    assert numbered.select("block").distinct().count() > 1
+    want = set()
+    for r in numbered.collect():
+        t = P.Texts([np.array(r.tokens)], [np.array(r.lens)])
+        got = P.given(t, models.gains(t, models.v.indices(*languages.marked(t))), thresholds)
+        want |= {(r.doc_id, subjects[k]) for k in np.flatnonzero(got[0])}
+    assert {tuple(r) for r in P.found(docs, areas, labels).collect()} == want
+
+
+def test_last_given_is_what_each_threshold_gives():
+    rng = np.random.default_rng(4)
+    t, tried = texts(7, 1, 12), np.array([0.5, 1.0, 1.5])
+    g = rng.integers(0, 5, (20, 3)) / 2
+    last = P.last_given(t, g, tried)
+    for i, th in enumerate(tried):
+        assert ((last >= i) == P.given(t, g, float(th))).all()
