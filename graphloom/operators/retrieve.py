@@ -31,9 +31,20 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.concat(*(size(k) for k in range(1, KEY + 1))))
 
 
+#: Bytes that names take with a copy for each of their substrings, up to which they are broadcast.
+SENT = 8_000_000
+
+
+def _how(names: DataFrame, key: str) -> str:
+    """The hint for joins of ``names`` with a graph. The planner can't size either side (a local list counts as endless, substrings
+    of labels as no larger than their file) and would broadcast the labels; so names are measured, and sorting is asked for where they are many."""
+    n = F.length(key).cast("double")
+    return "broadcast" if (names.agg(F.sum(KEY * (n + 1) * (4 * n + 64)).alias("n")).first()["n"] or 0) <= SENT else "merge"
+
+
 def _holding(long: DataFrame, text: str, short: DataFrame, part: str) -> DataFrame:
     """Rows of ``long`` and ``short`` where ``text`` holds ``part``: the first letters of the part meet the substrings of the
-    text. Where one side is small the planner broadcasts it, else adaptive execution splits hot letters ("the ")."""
+    text. A hint of either side stays with it; where both are sorted adaptive execution splits hot letters ("the ")."""
     keyed = long.withColumn("_g", F.explode(_grams(F.col(text))))
     return keyed.join(short.withColumn("_g", F.substring(part, 1, KEY)), "_g").filter(F.contains(text, F.col(part))).drop("_g")
 
@@ -43,15 +54,16 @@ def search(names: DataFrame, index: DataFrame, triples: DataFrame, bases: list[s
     holds the name or is held by it. Of several the longest label wins.
 
     Names within labels, of any length, are found by equality of their first letters with substrings, not by trying all pairs.
+    Only names are broadcast, up to ``SENT``; never the graph or its labels.
     """
     names = names.select("name").filter("name is not null").distinct().withColumn("_k", F.lower(strip("name")))
-    found = [names.join(index, F.col("_k") == F.col("label")).select("name", "uri", "label", F.lit(1).alias("rank"))]
-    subjects = triples.select("s").distinct()
+    how = _how(names, "_k")
+    found = [names.hint(how).join(index, F.col("_k") == F.col("label")).select("name", "uri", "label", F.lit(1).alias("rank"))]
     for i, base in enumerate(bases):
-        at = names.withColumn("uri", F.concat(F.lit(base), F.replace("name", F.lit(" "), F.lit("_"))))
-        found.append(at.join(subjects, F.col("uri") == F.col("s"), "left_semi").select("name", "uri", F.col("_k").alias("label"), F.lit(2 + i).alias("rank")))
+        at = names.withColumn("uri", F.concat(F.lit(base), F.replace("name", F.lit(" "), F.lit("_")))).hint(how)
+        found.append(triples.select("s").join(at, F.col("uri") == F.col("s")).select("name", "uri", F.col("_k").alias("label"), F.lit(2 + i).alias("rank")).distinct())
     last = 2 + len(bases)
-    parts = names.filter(F.length("_k") >= 2)
+    parts = names.filter(F.length("_k") >= 2).hint(how)
     inside = _holding(parts, "_k", index.filter(F.length("label") >= 1), "label")
     around = _holding(index.filter(F.length("label") >= 2), "label", parts, "_k")
     found += [x.select("name", "uri", "label", F.lit(last).alias("rank")) for x in (inside, around)]

@@ -85,6 +85,35 @@ def test_long_names_are_searched(spark):
     assert {r["name"]: r["uri"] for r in got} == {long: "http://x#w", "well": "http://x#w"}
 
 
+def broadcast_scans(df):
+    """Files that a plan reads below a broadcast."""
+    lines, found = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = lambda x: next((i for i, c in enumerate(x) if c.isalpha() or c == "*"), 0)
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            for y in lines[i + 1 :]:
+                if depth(y) <= depth(x):
+                    break
+                found += [y.strip()] * ("Scan parquet" in y)
+    return found
+
+
+@pytest.fixture
+def filed(spark, tmp_path):
+    """The graph in a file, by whose size the planner goes."""
+    graph(spark).write.parquet(str(tmp_path / "g"))
+    return spark.read.parquet(str(tmp_path / "g"))
+
+
+@pytest.mark.parametrize("sent", (retrieve.SENT, 0))
+def test_labels_and_subjects_are_never_broadcast(spark, filed, sent, monkeypatch):
+    monkeypatch.setattr(retrieve, "SENT", sent)
+    names = spark.createDataFrame([(n,) for n in ("LAMP", "Old_Well", "the old well here", "wel", "zzz", None)], "name string")
+    got = retrieve.search(names, retrieve.label_index(filed, "http://x#"), filed, ["http://x#"])
+    assert not broadcast_scans(got)
+    assert {(r["name"], r["uri"].rpartition("#")[2], r["rank"]) for r in got.collect()} == {("LAMP", "Lamp", 1), ("Old_Well", "Old_Well", 2), ("the old well here", "Old_Well", 3), ("wel", "Old_Well", 3)}
+
+
 def graph(spark):
     label = "http://www.w3.org/2000/01/rdf-schema#label"
     rows = [("http://x#Lamp", label, "Lamp", "literal", None, "en"), ("http://x#Lamp", label, "Lampe", "literal", None, "fr"), ("http://x#Lamp", P + "near", "http://x#Old_Well", "uri", None, None), ("http://x#Old_Well", label, "Old Well", "literal", None, None), ("http://x#Lamp", P + "q", "http://w/Q42", "uri", None, None), ("http://x#Lamp", P + "sameAs", "http://w/Z", "uri", None, None)]
