@@ -101,6 +101,7 @@ def blocks(entities: DataFrame, triples: DataFrame, limit: int = 15) -> DataFram
     """(qid, place, block): the facts of each entity as text."""
     lines = facts(triples.join(entities.select(F.col("uri").alias("s")).distinct(), "s", "left_semi"), limit)
     texts = lines.groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "fact"))), lambda x: F.concat(F.lit("  - "), x["fact"])), "\n").alias("t"))
+    texts = texts.hint("merge")  # the planner takes them for no larger than the graph's file and would broadcast them
     return entities.join(texts, entities["uri"] == texts["s"]).select("qid", "place", F.concat(F.lit("["), short_name("uri"), F.lit("]\n"), "t").alias("block"))
 
 

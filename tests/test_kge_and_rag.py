@@ -114,6 +114,12 @@ def test_labels_and_subjects_are_never_broadcast(spark, filed, sent, monkeypatch
     assert {(r["name"], r["uri"].rpartition("#")[2], r["rank"]) for r in got.collect()} == {("LAMP", "Lamp", 1), ("Old_Well", "Old_Well", 2), ("the old well here", "Old_Well", 3), ("wel", "Old_Well", 3)}
 
 
+def test_facts_are_never_broadcast(spark, filed):
+    ents = spark.createDataFrame([(1, 1, "http://x#Old_Well")], "qid long, place int, uri string")
+    got = retrieve.blocks(ents, filed)
+    assert not broadcast_scans(got) and [r["block"] for r in got.collect()] == ["[Old Well]\n  - label: Old Well"]
+
+
 def graph(spark):
     label = "http://www.w3.org/2000/01/rdf-schema#label"
     rows = [("http://x#Lamp", label, "Lamp", "literal", None, "en"), ("http://x#Lamp", label, "Lampe", "literal", None, "fr"), ("http://x#Lamp", P + "near", "http://x#Old_Well", "uri", None, None), ("http://x#Old_Well", label, "Old Well", "literal", None, None), ("http://x#Lamp", P + "q", "http://w/Q42", "uri", None, None), ("http://x#Lamp", P + "sameAs", "http://w/Z", "uri", None, None)]
