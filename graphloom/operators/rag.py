@@ -29,10 +29,15 @@ def passages(hits: DataFrame) -> DataFrame:
     return joined_blocks(hits.select("qid", "place", line.alias("block")), "texts").withColumn("texts", F.trim(F.regexp_replace("texts", "\n\\[", "\n\n[")))
 
 
+#: Hits, without texts, that are broadcast to the documents at most.
+MOST_HITS = 100_000
+
+
 def retrieved(questions: DataFrame, triples: DataFrame, docs: DataFrame, base: str, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """(facts, texts) of questions (qid, question): the facts about what they name, and the nearest of docs (id, title, text)."""
     ents = retrieve.question_entities(questions, retrieve.label_index(triples, base), triples, [base])
-    hits = retrieve.lexical_topk(questions.select("qid", F.col("question").alias("text")), docs.select("id", "text"), most).join(docs, "id")
+    how = "broadcast" if questions.count() * most <= MOST_HITS else "merge"  # else the planner would broadcast documents whose file is small
+    hits = retrieve.lexical_topk(questions.select("qid", F.col("question").alias("text")), docs.select("id", "text"), most).hint(how).join(docs, "id")
     return joined_blocks(retrieve.blocks(ents, triples), "facts"), passages(hits)
 
 

@@ -135,11 +135,11 @@ def neighbour_facts(seeds: DataFrame, neighbours: DataFrame, triples: DataFrame,
 
 
 def lexical_weights(chunks: DataFrame) -> DataFrame:
-    """(id, term, w): tf-idf weights of texts, of unit length."""
+    """(id, term, w): tf-idf weights of texts, of unit length. Terms are sorted to their idf: by the size of the texts' file the planner would broadcast all terms of all texts."""
     terms = chunks.select("id", F.explode(words(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = chunks.agg(F.countDistinct("id").alias("n_docs"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)).alias("idf"))
-    weighted = terms.join(df, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    weighted = terms.hint("merge").join(df, "term").withColumn("x", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return weighted.join(norms, "id").select("id", "term", F.try_divide("x", "norm").alias("w"))
 

@@ -86,11 +86,11 @@ def test_long_names_are_searched(spark):
 
 
 def broadcast_scans(df):
-    """Files that a plan reads below a broadcast."""
+    """Files that a plan reads below a broadcast of rows."""
     lines, found = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
     depth = lambda x: next((i for i, c in enumerate(x) if c.isalpha() or c == "*"), 0)
     for i, x in enumerate(lines):
-        if "BroadcastExchange" in x:
+        if "BroadcastExchange Hashed" in x:
             for y in lines[i + 1 :]:
                 if depth(y) <= depth(x):
                     break
@@ -120,6 +120,16 @@ def test_facts_are_never_broadcast(spark, filed):
     assert not broadcast_scans(got) and [r["block"] for r in got.collect()] == ["[Old Well]\n  - label: Old Well"]
 
 
+def test_documents_and_their_terms_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(k, f"T{k}", f"old well number{k} by the lamp") for k in range(30)], "id long, title string, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    qs = spark.createDataFrame([(0, "Where is number7"), (1, "nothing")], "qid long, question string")
+    assert not broadcast_scans(retrieve.lexical_weights(docs.select("id", "text")))
+    texts = rag.retrieved(qs, graph(spark), docs, "http://x#")[1]
+    assert not [x for x in broadcast_scans(texts) if "title" in x.partition("]")[0]]
+    assert [(r["qid"], r["texts"].partition("]")[0]) for r in texts.collect()] == [(0, "[T7")]
+
+
 def graph(spark):
     label = "http://www.w3.org/2000/01/rdf-schema#label"
     rows = [("http://x#Lamp", label, "Lamp", "literal", None, "en"), ("http://x#Lamp", label, "Lampe", "literal", None, "fr"), ("http://x#Lamp", P + "near", "http://x#Old_Well", "uri", None, None), ("http://x#Old_Well", label, "Old Well", "literal", None, None), ("http://x#Lamp", P + "q", "http://w/Q42", "uri", None, None), ("http://x#Lamp", P + "sameAs", "http://w/Z", "uri", None, None)]
