@@ -85,10 +85,8 @@ def last_types(triples: DataFrame, order: Column) -> DataFrame:
     return triples.groupBy("s").agg(F.max_by("o", order).alias("type"))
 
 
-#: Numbers of all parameters that are broadcast at most, checked: 4 GB as doubles.
-MAX_PARAMETERS = 500_000_000
-#: Triples that a block of the training has at least.
-BLOCK = 5_000
+#: Triples that a block of the training has at least, if there are as many, and at most, about.
+LEAST_BLOCK, LARGEST_BLOCK = 5_000, 50_000
 
 
 def _transe_step(e: np.ndarray, r: np.ndarray, h: np.ndarray, k: np.ndarray, t: np.ndarray, nh: np.ndarray, nt: np.ndarray, rate: float) -> None:
@@ -119,63 +117,84 @@ def _complex_step(e: np.ndarray, r: np.ndarray, h: np.ndarray, k: np.ndarray, t:
         np.add.at(r, k, -rate * (g * np.hstack([a * x + b * z, a * z - b * x]) + 1e-4 * rk))
 
 
+def _discard(df: DataFrame) -> None:
+    """Removes the files of a checkpoint that nothing reads any more."""
+    at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()  # noqa: SLF001
+    if at.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(at.get())  # noqa: SLF001
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
+def _matrix(table: pa.Table, width: int) -> np.ndarray:
+    return table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
 def train(encoded: DataFrame, n_entities: int, n_relations: int, model: str = "transe", dim: int = 100, epochs: int = 50, rate: float | None = None, batch: int = 512, seed: int = 42) -> DataFrame:
     """(kind, id, vec): a model (``transe`` or ``complex``) trained in parallel blocks whose parameters are averaged after each epoch.
 
-    Triples stay where they are. The parameters are broadcast, at most MAX_PARAMETERS of them; a block takes the batches of its
-    partition one by one, and hands back only the rows that it touched, whose mean over those blocks becomes the new row.
+    Triples and parameters are tables; the driver holds neither. In each epoch a triple gets its corrupted end by a hash, from all entities;
+    a block gets its triples and the parameters that they name, takes its batches one by one and hands the parameters back, whose
+    mean over the blocks becomes the new row. Between epochs they are kept in single precision; old ones are removed.
     """
     width = dim if model == "transe" else 2 * dim
-    if (n_entities + n_relations) * width > MAX_PARAMETERS:
-        raise ValueError("too many parameters for one broadcast: train on parts of the graph")
     step = {"transe": _transe_step, "complex": _complex_step}[model]
     rate = rate if rate is not None else {"transe": 0.01, "complex": 0.1}[model]
     spark = encoded.sparkSession
-    rng = np.random.default_rng(seed)
-    if model == "transe":
-        ent, rel = (rng.uniform(-6 / np.sqrt(dim), 6 / np.sqrt(dim), (n, dim)) for n in (n_entities, n_relations))
-        rel /= np.linalg.norm(rel, axis=1, keepdims=True)
-    else:
-        ent, rel = (rng.normal(0, 0.3, (n, width)) for n in (n_entities, n_relations))
-    data = encoded.persist()
-    blocks = max(1, data.count() // BLOCK)  # the mean of many blocks with few triples each would hardly move
-    data = data.coalesce(blocks) if blocks < data.rdd.getNumPartitions() else data
+    triples = cut(encoded.select("h", "r", "t"))
+    n = triples.count()
+    # the mean of many blocks with few triples each would hardly move
+    blocks = max(1, min(n // LEAST_BLOCK, max(spark.sparkContext.defaultParallelism, -(-n // LARGEST_BLOCK))))
+    triples = triples.withColumn("block", F.pmod(F.xxhash64("h", "r", "t", F.lit(seed)), F.lit(blocks)))
+    single = pa.list_(pa.float32())
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            k = rows.column("k").to_numpy()
+            if not len(k):
+                continue
+            rng = np.random.default_rng([seed, abs(int(k[0])), int(k[0] < 0)])
+            x = rng.uniform(-6 / np.sqrt(dim), 6 / np.sqrt(dim), (len(k), dim)) if model == "transe" else rng.normal(0, 0.3, (len(k), width))
+            if model == "transe":
+                x[k < 0] /= np.linalg.norm(x[k < 0], axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([rows.column("k"), pa.array(list(x.astype(np.float32)), single)], ["k", "vec"])
+
+    def trained(epoch: int):  # noqa: ANN202
+        def run(rows: pa.Table, params: pa.Table) -> pa.Table:
+            k = params.column("k").to_numpy()
+            order = np.argsort(k)
+            k, x = k[order], _matrix(params, width)[order]
+            first = int(np.searchsorted(k, 0))  # relations have the keys below 0
+            r, e = x[:first], x[first:]
+            if model == "transe":
+                e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
+            h, t, other, p, head, b = (rows.column(c).to_numpy() for c in ("h", "t", "other", "p", "head", "block"))
+            mixed = np.random.default_rng([seed, epoch, int(b[0])]).permutation(len(h)) if len(h) else np.zeros(0, dtype=int)
+            mixed = np.lexsort((t, p, h))[mixed]
+            h, t, other, p, head = (c[mixed] for c in (h, t, other, p, head))
+            h, t, other, p = (np.searchsorted(k, c) for c in (h, t, other, p))
+            h, t, other = h - first, t - first, other - first
+            for at in range(0, len(h), batch):
+                i = slice(at, at + batch)
+                step(e, r, h[i], p[i], t[i], np.where(head[i], other[i], h[i]), np.where(head[i], t[i], other[i]), rate)
+            return pa.table({"k": k, "vec": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width), pa.int32()), pa.array(x.astype(np.float32).ravel()))})
+
+        return run
+
+    keys = spark.range(0, n_entities).select(F.col("id").alias("k")).unionByName(spark.range(0, n_relations).select((-1 - F.col("id")).alias("k")))
+    params = cut(keys.mapInArrow(started, "k long, vec array<float>"))
+    mean = F.array(*(F.avg(F.col("vec")[i]).cast("float") for i in range(width))).alias("new")
+    length = F.greatest(vectors.norm(F.col("vec")), F.lit(1e-12))
+    old = F.when(F.col("k") >= 0, F.transform("vec", lambda x: (x / length).cast("float"))).otherwise(F.col("vec")) if model == "transe" else F.col("vec")
     for epoch in range(epochs):
-        if model == "transe":
-            ent /= np.maximum(np.linalg.norm(ent, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((ent, rel))
-
-        def block(batches: Iterator[pd.DataFrame], epoch: int = epoch, shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            e, r = (x.copy() for x in shared.value)
-            touched: tuple[set[int], set[int]] = (set(), set())
-            local = None
-            for rows in batches:
-                if not len(rows):
-                    continue
-                local = local or np.random.default_rng(seed + 1000 * epoch + int(rows["h"].iloc[0]))
-                for at in range(0, len(rows), batch):
-                    h, k, t = (rows[c].to_numpy()[at : at + batch] for c in "hrt")
-                    head = local.random(len(h)) < 0.5
-                    other = local.integers(0, n_entities, len(h))
-                    nh, nt = np.where(head, other, h), np.where(head, t, other)
-                    step(e, r, h, k, t, nh, nt, rate)
-                    touched[0].update(h.tolist(), t.tolist(), other.tolist())
-                    touched[1].update(k.tolist())
-            for kind, ids, x in (("e", sorted(touched[0]), e), ("r", sorted(touched[1]), r)):
-                for at in range(0, len(ids), 10_000):
-                    part = ids[at : at + 10_000]
-                    yield pd.DataFrame({"kind": kind, "id": part, "vec": list(x[part])})
-
-        new = data.mapInPandas(block, "kind string, id long, vec array<double>").groupBy("kind", "id").agg(F.array(*(F.avg(F.col("vec")[i]) for i in range(width))).alias("vec")).toArrow()
-        kinds, ids, vecs = (new.column(c) for c in ("kind", "id", "vec"))
-        if new.num_rows:
-            at, of = ids.to_numpy(), kinds.to_numpy() == "e"
-            rows = vecs.combine_chunks().flatten().to_numpy().reshape(-1, width)
-            ent[at[of]], rel[at[~of]] = rows[of], rows[~of]
-        shared.unpersist()
-    encoded.unpersist()
-    table = pa.table({"kind": ["e"] * len(ent) + ["r"] * len(rel), "id": [*range(len(ent)), *range(len(rel))], "vec": pa.array([*ent, *rel], type=pa.list_(pa.float64()))})
-    return spark.createDataFrame(table, "kind string, id long, vec array<double>")
+        dice = lambda what, epoch=epoch: F.xxhash64("h", "r", "t", F.lit(f"{seed} {epoch} {what}"))
+        drawn = triples.select("block", "h", "t", (-1 - F.col("r")).alias("p"), F.pmod(dice("other"), F.lit(n_entities)).alias("other"), (F.pmod(dice("side"), F.lit(2)) == 0).alias("head"))
+        named = drawn.select((F.col("block") + 0).alias("to"), F.explode(F.array("h", "t", "other", "p")).alias("k")).distinct()
+        sent = params.hint("merge").join(named, "k").select("to", "k", "vec")
+        new = drawn.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(trained(epoch), "k long, vec array<float>").groupBy("k").agg(mean)
+        last, params = params, cut(params.hint("merge").join(new, "k", "left").select("k", F.coalesce("new", old).alias("vec")), free=True)
+        _discard(last)
+    return params.select(F.when(F.col("k") >= 0, "e").otherwise("r").alias("kind"), F.when(F.col("k") >= 0, F.col("k")).otherwise(-1 - F.col("k")).alias("id"), F.col("vec").cast("array<double>").alias("vec"))
 
 
 def train_transe(encoded: DataFrame, n_entities: int, n_relations: int, **options: float) -> DataFrame:
@@ -191,7 +210,9 @@ def model_ranks(model: DataFrame, tests: DataFrame, known: DataFrame, kind: str)
     e = model.filter("kind = 'e'").select("id", "vec")
     at = lambda c, x: e.select(F.col("id").alias(c), F.col("vec").alias(x))
     rel = model.filter("kind = 'r'").select(F.col("id").alias("r"), F.col("vec").alias("vr"))
-    full = queries.join(at("h", "vh"), "h").join(rel, "r").join(at("t", "vt"), "t")
+    full = at("h", "vh").join(F.broadcast(queries), "h")  # the tests are what is broadcast, never the model
+    full = rel.join(F.broadcast(full), "r")
+    full = at("t", "vt").join(F.broadcast(full), "t")
     others = known.join(queries.select("h", "r", F.col("t").alias("_own"), "q"), ["h", "r"]).filter("t <> _own").select("q", F.col("t").alias("id"))
     skip = others.groupBy("id").agg(F.collect_set("q").alias("skip"))
     rows = full.select("q", "vh", "vr", "vt").toArrow()

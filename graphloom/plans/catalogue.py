@@ -819,7 +819,7 @@ def _encoded(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
     parts = kge.repair_leakage(kge.split(kge.cleaned(views.parties(spark, d), [RDF + "type"])))
     ents = kge.dictionary(parts.select(F.col("s").alias("uri")).unionByName(parts.select(F.col("o").alias("uri"))), "uri")
     rels = kge.dictionary(parts.select(F.col("p").alias("uri")), "uri")
-    e = lambda a, b: ents.select(F.col("uri").alias(a), F.col("id").alias(b))
+    e = lambda a, b: ents.select(F.col("uri").alias(a), F.col("id").alias(b)).hint("merge")
     enc = parts.join(e("s", "h"), "s").join(e("o", "t"), "o").join(rels.select(F.col("uri").alias("p"), F.col("id").alias("r")), "p").select("h", "r", "t", "part")
     return enc, ents.count(), rels.count()
 

@@ -69,6 +69,20 @@ def test_complex_training_learns_and_ranks(spark):
     assert kge.train(enc.limit(0), 3, 1, "complex", dim=4, epochs=1).count() == 4
 
 
+def test_training_holds_no_parameters_in_the_driver(spark, monkeypatch):
+    enc = spark.createDataFrame([(i, 0, (i + 1) % 12) for i in range(12)], "h long, r long, t long")
+
+    def refused(*_, **__):
+        raise AssertionError("the driver holds parameters")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    monkeypatch.setattr(type(enc), "toArrow", refused)
+    for model in ("transe", "complex"):
+        got = kge.train(enc, 12, 1, model, dim=4, epochs=2, batch=4).collect()
+        assert sorted((r["kind"], r["id"], len(r["vec"])) for r in got) == sorted([("e", i, 4 if model == "transe" else 8) for i in range(12)] + [("r", 0, 4 if model == "transe" else 8)])
+
+
 def test_filtered_ranks_of_a_model_skip_other_true_answers(spark):
     model = spark.createDataFrame([("e", i, [float(x)]) for i, x in enumerate((0, 1, 2, 3))] + [("r", 0, [1.0])], "kind string, id long, vec array<double>")
     test = spark.createDataFrame([(0, 0, 2)], "h long, r long, t long")
